@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_rules, sharding, token_counts
+from . import chat_format, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -43,5 +43,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing)}
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_packing, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing, op9_toxicity)}
 ORACLE: dict[str, str] = {}
