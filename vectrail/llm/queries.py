@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -51,5 +51,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_packing, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing, op9_toxicity)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_packing, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing, op9_toxicity, op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
