@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from . import chat_format, jaccard_join, mixing, packing, quality_classifier, quality_rules, score_aware_ann, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -23,6 +23,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_score_aware_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("vector"))
+    index, book, blocks = score_aware_ann.build_index(vectors)
+    return score_aware_ann.search(index, book, blocks, index.where(F.col("id") % 20 == 0))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -55,5 +61,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_packing, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing, op9_toxicity, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_packing, op4_score_aware_ann, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing, op9_toxicity, op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
