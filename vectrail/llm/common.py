@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,21 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def keyed(docs: DataFrame, carry: bool) -> DataFrame:
+    """doc_id, held_out, text and, if asked for, the whole row as the struct ``doc``, whose names cannot clash."""
+    row = [F.struct(*docs.columns).alias("doc")] if carry else []
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *row)
+
+
+def measured_schema(slim: DataFrame, kind: str) -> str:
+    """What ``measured_batch`` makes of the rows of ``keyed``."""
+    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text"), f"x {kind}"])
+
+
+def measured_batch(batch: pa.RecordBatch, x: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """A batch of ``keyed`` with a row of ``x`` as an array in place of its text."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    names = [n for n in batch.schema.names if n != "text"]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(ends, pa.array(x.ravel(), kind))], [*names, "x"])

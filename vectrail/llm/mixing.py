@@ -14,8 +14,8 @@ their number.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; sources of size 0 have target 0 and take nothing; an empty table
-gives no rows; repeated rows are drawn one by one; other columns pass through
-``mix`` untouched, and clashing names are replaced by those it computes.
+gives no rows; repeated rows are drawn one by one; extra columns, whatever their
+names, are ignored or carried in a struct.
 """
 
 from __future__ import annotations
@@ -57,15 +57,16 @@ def _seeded(*cols, seed: int):
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, weights=cyclic_weights, most: float = MOST, seed: int = 8, cell: int = CELL, keep: tuple = ()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken, and the columns in ``keep``.
+def mix(docs: DataFrame, weights=cyclic_weights, most: float = MOST, seed: int = 8, cell: int = CELL, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken; ``carry`` adds the row as the struct ``doc``.
 
     ``weights`` maps the list of sources to their weights.  Sources are a
     catalogue, kept on the driver; documents are not.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    slim = docs.select("doc_id", "source", size.alias("size"), *keep)
+    row = [F.struct(*docs.columns).alias("doc")] if carry else []
+    slim = docs.select("doc_id", "source", size.alias("size"), *row)
     per = slim.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     sizes = {r.source: r.words for r in per}
     wanted = targets(sizes, weights(list(sizes)), most) if sizes else {}
@@ -85,3 +86,9 @@ def mix(docs: DataFrame, weights=cyclic_weights, most: float = MOST, seed: int =
         .withColumn("taken", F.col("copies") * F.col("size"))
         .drop("nth", "cell", "cells")
     )
+
+
+def emit(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns."""
+    mixed = mix(docs, carry=True, **options).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

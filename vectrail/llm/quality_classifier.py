@@ -29,11 +29,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import keyed, measured_batch, measured_schema, written
 from .quality_rules import repeated_words
 
 NAMES = (
@@ -132,37 +133,39 @@ class PUClassifier:
         return _sigmoid(self.basis(x) @ self.weights)
 
 
-def text_statistics(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, stats array<float> of every whole text."""
+def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, held_out, x array<float> of every whole text; with ``carry``, also the row as the struct ``doc``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([statistics(t) for t in batch.column(2).to_pylist()], np.float32).reshape(-1, len(NAMES))
-            ends = np.arange(len(stats) + 1, dtype=np.int32) * len(NAMES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(stats.ravel()))], ["doc_id", "held_out", "stats"])
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float32).reshape(-1, len(NAMES))
+            yield measured_batch(batch, x, pa.float32())
 
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, held_out boolean, stats array<float>")
+    slim = keyed(docs, carry)
+    return slim.mapInArrow(run, measured_schema(slim, "array<float>"))
 
 
 def _rows(df: DataFrame, most: int, seed: int) -> np.ndarray:
-    got = df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("stats").toPandas()["stats"]
+    got = df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("x").toPandas()["x"]
     return np.stack(got.to_list()).astype(np.float64) if len(got) else np.empty((0, len(NAMES)))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most_positive: int = 6_000, most_unlabelled: int = 12_000, cut: float = 0.3, prior: float | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
-    stats = written(text_statistics(docs), "quality-statistics")
-    learn = stats.where(~F.col("held_out") & F.col("doc_id").isNotNull())
+def score_quality(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", most_positive: int = 6_000, most_unlabelled: int = 12_000, cut: float = 0.3, prior: float | None = None, carry: bool = False
+) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
+    stats = written(text_statistics(docs, carry), "quality-statistics")
+    learn = stats.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "x")
     trusted = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     p = _rows(learn.join(trusted, "doc_id", "left_semi"), most_positive, 1)
     u = _rows(learn, most_unlabelled, 2)
     model = PUClassifier(p, u, prior) if len(p) >= 2 and len(u) >= 2 else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(NAMES))
-            s = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        if model is None or not len(x):
+            return pd.Series(np.full(len(x), 0.5))
+        return pd.Series(model.score(np.stack(x.to_list()).astype(np.float64)))
 
-    return stats.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    scored = stats.withColumn("score", score("x")).drop("x")
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))

@@ -32,12 +32,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import held_out, keyed, measured_batch, measured_schema, written
 
 LEVEL = 12
 WINDOW = 8
@@ -139,9 +140,9 @@ def _sample(labels: DataFrame, label: str, value: int, most: int) -> DataFrame:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, most_words: int = 20_000, cut: float = 0.5
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, most_words: int = 20_000, cut: float = 0.5, carry: bool = False
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
     spark = docs.sparkSession
     ids = [tuple(r) for v, most in ((1, most_toxic), (0, most_ordinary)) for r in _sample(labels, label, v, most).collect()]
     schema = "doc_id bigint, y int"
@@ -156,7 +157,7 @@ def score_toxicity(
     rows = own.join(chosen, "doc_id").select("text", "y").mapInArrow(thin, "text string, y int").collect() if ids else []
     toxic, ordinary = (sorted({r.text for r in rows if r.y == v}) for v in (1, 0))
     if not toxic or not ordinary:
-        return own.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return keyed(docs, carry).drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     for texts in (toxic, ordinary):
         random.Random(9).shuffle(texts)
     dictionaries = train_dictionaries(toxic, ordinary)
@@ -166,19 +167,17 @@ def score_toxicity(
         distance = Distance(*dictionaries)
         width = len(THRESHOLDS) + 3
         for batch in batches:
-            x = np.array([distance.features(t) for t in batch.column(2).to_pylist()], np.float64).reshape(-1, width)
-            ends = np.arange(len(x) + 1, dtype=np.int32) * width
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc_id", "held_out", "x"])
+            x = np.array([distance.features(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, width)
+            yield measured_batch(batch, x, pa.float64())
 
-    slim = own.select("doc_id", held_out().alias("held_out"), "text")
-    measured = written(slim.mapInArrow(measure, "doc_id bigint, held_out boolean, x array<double>"), "toxicity-windows")
+    slim = keyed(docs, carry)
+    measured = written(slim.mapInArrow(measure, measured_schema(slim, "array<double>")), "toxicity-windows")
     learn = measured.join(chosen, "doc_id").select("x", "y").collect()
     model = Calibration(np.array([r.x for r in learn]), np.array([r.y for r in learn], np.float64))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            s = model.score(x) if len(x) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_list())) if len(x) else [], dtype="float64")
 
-    return measured.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
+    scored = measured.withColumn("score", score("x")).drop("x")
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
