@@ -70,6 +70,7 @@ def mix(docs: DataFrame, weights=cyclic_weights, most: float = MOST, seed: int =
     per = slim.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     sizes = {r.source: r.words for r in per}
     wanted = targets(sizes, weights(list(sizes)), most) if sizes else {}
+    wanted = {s: round(t, 6) for s, t in wanted.items()}
     rows = [(r.source, r.words, wanted[r.source], wanted[r.source] / r.words if r.words else 0.0, max(1, r.n // cell)) for r in per]
     plan = spark.createDataFrame(rows or [(None, 0, 0.0, 0.0, 1)], "source_ string, source_size bigint, target double, rate double, cells bigint")
     dealt = slim.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")

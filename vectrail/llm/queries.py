@@ -62,4 +62,51 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_packing, op4_score_aware_ann, op5_chat_format, op6_quality_rules, op7_sharding, op8_mixing, op9_toxicity, op10_jaccard_join)}
-ORACLE: dict[str, str] = {}
+
+# SQL for DuckDB, where it can express an operator.
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_ESCAPED = r"regexp_replace(coalesce({}, ''), '([\\<>])', '\\\1', 'g')"
+_SAID = r"\### Assistant: </turn> ok"
+
+
+def _seeded_sql(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+_CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_SAID}' UNION ALL SELECT -7, 1, 'assistant', '{_SAID}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS LAST, role, text)) AS loss_sha256,
+  sum(15 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+_MIX_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, count(*) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, 3.0::DOUBLE * words / w AS ratio, sum(words) OVER () AS total, sum(w) OVER () AS weights,
+  sum(3 * words) OVER (ORDER BY 3.0::DOUBLE * words / w, source) AS capped, sum(w) OVER (ORDER BY 3.0::DOUBLE * words / w, source) AS capped_w FROM s),
+h AS (SELECT ratio, source, (total - (capped - 3 * words))::DOUBLE / (weights - (capped_w - w)) AS per FROM o),
+f AS (SELECT per FROM h WHERE per <= ratio ORDER BY ratio, source LIMIT 1),
+p AS (SELECT source, words, greatest(1, n // {mixing.CELL}) AS cells, round(least(3.0::DOUBLE * words, per * w), 6) AS target FROM o, f),
+r AS (SELECT *, CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE target / words END AS rate FROM p),
+c AS (SELECT d.doc_id, d.source, d.size, r.words, r.target, r.rate, floor({_seeded_sql("d.doc_id::VARCHAR", 8)} * cells)::BIGINT AS cell FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size, {_seeded_sql("doc_id::VARCHAR", 9)}, doc_id) AS nth, {_seeded_sql("coalesce(source, chr(0)) || '|' || cell::VARCHAR", 8)} AS start, rate - floor(rate) AS part FROM c)
+SELECT doc_id, size, words AS source_size, target, ((floor(rate) + floor(start + part * nth) - floor(start + part * (nth - 1))) * size)::BIGINT AS taken FROM k"""
+
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n_both FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * n_both >= 75 * (na + nb - n_both)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, least(g.doc_id, coalesce(m.low, g.doc_id)) AS component_id
+FROM g LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) m ON m.a = g.doc_id"""
+
+ORACLE = {"op5_chat_format": _CHAT_SQL, "op8_mixing": _MIX_SQL, "op10_jaccard_join": _JACCARD_SQL}
