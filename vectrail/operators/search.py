@@ -25,6 +25,7 @@ from ..model import DEFAULT_THRESHOLD, DEFAULT_TOP_K, Similarity
 #: Of a query matrix that goes to every task.
 MOST_BYTES = 16 << 20
 CHUNK = 1024
+SLOT = 32_768
 
 
 def _checked(k: int) -> int:
@@ -131,8 +132,8 @@ def _against(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: in
 
 
 def _slotted(table: DataFrame, queries: DataFrame, n: int, k: int, threshold: float | None, similarity: Similarity, dim: int) -> DataFrame:
-    """Query chunks go to every slot of the table; a slot's rows stay in memory while chunks stream past."""
-    slots = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), table.rdd.getNumPartitions())
+    """Query chunks go to every slot of the table; a slot's rows, about ``SLOT``, stay in memory while chunks stream past."""
+    slots = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // SLOT))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

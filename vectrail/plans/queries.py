@@ -6,13 +6,16 @@ queries use every row as a query.  Scores are doubles rounded to six places.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, kernels, register, text, vector
+from ..functions import codec, hashing, register, text, vector
 from ..model import DEFAULT_THRESHOLD, DEFAULT_TOP_K, Similarity
 from ..operators import ann, cluster, lsh, search
+from ..sources import binary
+from ..sources.scratch import shared_path
+from ..sources.store import refused
+from .database import Database
 
 THRESHOLD = 0.2
 BITS, TABLES, DIM, TO = 8, 6, 64, 16
@@ -225,8 +228,6 @@ def dup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.store import refused
-
     rows = _vectors(spark, sf_dir)
     bent = F.when(F.col("label") == 1, F.slice("vector", 1, 63)).when(F.col("label") == 2, F.lit(None)).otherwise(F.col("vector"))
     judged = rows.select(bent.alias("vector"), F.when(F.col("label") != 3, F.lit("r")).alias("rid")).select(F.coalesce(refused(DIM), F.lit("stored")).alias("outcome"))
@@ -272,6 +273,69 @@ def euclidean_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.round(vector.euclidean_2d(F.col("p_size").cast("double"), "p_retailprice", F.lit(10.0), F.lit(1000.0)), 4).alias("distance"))
 
 
+def _collection(spark: SparkSession, sf_dir: str, kind: str):
+    """All embeddings in a new collection, in two appends; rids are the ids of the table."""
+    rows = _vectors(spark, sf_dir)
+    made = Database(spark, shared_path(spark, "database")).create({"type": kind, "name": "vectors"})
+    inputs = rows.select("id", "vector", F.col("id").cast("string").alias("rid"), F.concat(F.lit('{"label":'), F.col("label"), F.lit("}")).alias("extra"))
+    end = _middle(rows)
+    made.add(inputs.where(F.col("id") <= end))
+    return made, inputs.where(F.col("id") > end)
+
+
+def _by_rid(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id and id of a batched result as the rids of a collection."""
+    rid = rows.select("id", F.col("rid").cast("bigint").alias("rid"))
+    q = rid.select(F.col("id").alias("query_id"), F.col("rid").alias("q"))
+    return _rounded(found.join(q, "query_id").join(rid, "id").select(F.col("q").alias("query_id"), F.col("rid").alias("id"), "score"))
+
+
+def collection_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, more = _collection(spark, sf_dir, "FLAT")
+    made.add(more)
+    return _by_rid(made.search_batch(made.rows(), DEFAULT_TOP_K, THRESHOLD), made.rows())
+
+
+def collection_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over the first append, every cell probed, and the second append beside it."""
+    made, more = _collection(spark, sf_dir, "ANN")
+    made.build_index(ann.AnnParameters(probes=1 << 30, oversample=1 << 20))
+    made.add(more)
+    return _by_rid(made.search_batch(made.rows(), DEFAULT_TOP_K, THRESHOLD), made.rows())
+
+
+def collection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, more = _collection(spark, sf_dir, "FLAT")
+    made.add(more)
+    return made.records().select(F.col("rid").cast("bigint").alias("vec_id"), text.metadata_field("meta", "$.extra.label").cast("int").alias("label"))
+
+
+def collection_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are contiguous over appends."""
+    made, more = _collection(spark, sf_dir, "FLAT")
+    made.add(more)
+    return made.rows().select("id")
+
+
+def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary.with_ordinals(_vectors(spark, sf_dir).where("label <> 1")).select("ord", "id")
+
+
+def float_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through big-endian and little-endian bytes and back."""
+    rows = _vectors(spark, sf_dir)
+    big = codec.bytes_to_floats(codec.floats_to_bytes(F.col("vector"), "big"), "big")
+    both = codec.bytes_to_floats(codec.floats_to_bytes(big, "little"), "little")
+    return rows.select("id", F.posexplode(both).alias("pos", "x")).select("id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+def hamming_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signatures of a row as one wide code, against those of row 0."""
+    wide = _signatures(spark, sf_dir).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.element_at("code", 1).alias("c")))), lambda z: z["c"]).alias("words"))
+    own = wide.where("id = 0").select(F.col("words").alias("own"))
+    return wide.join(F.broadcast(own)).select("id", vector.hamming_words("words", "own").alias("distance"))
+
+
 QUERIES = {
     "cosine_topk": _single(Similarity.COSINE),
     "cosine_topk_default": _single(Similarity.COSINE, threshold=DEFAULT_THRESHOLD),
@@ -287,6 +351,7 @@ QUERIES = {
         threshold_range, batched_topk, batched_l2, topk_ids, merged_topk, count, last_id, scan_all, scan_keys, scan_after, point_lookup, reverse_lookup, normalize, sql_functions,
         lsh_signature, lsh_candidates, lsh_search, hamming, hybrid_union, delta_anti, metadata_json, vector_json, time_text, mean_pool_by_label, mean_pool_masked, fwht, random_projection,
         dup_vectors, validation, xxh64, reservoir_sample, kmeans_centroids, pq_codes, ivf_search, ivf_search_all_cells, random_vectors, euclidean_2d,
+        collection_batch, collection_hybrid, collection_records, collection_ids, ordinals, float_bytes, hamming_words,
     )
 }
 
@@ -359,6 +424,13 @@ ORACLE = {
     "random_projection": f"WITH {_V}, {_planes_sql(TO, 1)} SELECT id, p::INT AS pos, round(list_dot_product(x, w), 6) AS x FROM v, plane",
     "dup_vectors": "SELECT min(id) AS first_id, count(*) AS rows FROM (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE label = 1) GROUP BY embedding HAVING count(*) > 1",
     "validation": "SELECT CASE label WHEN 1 THEN 'wrong length' WHEN 2 THEN 'no vector' WHEN 3 THEN 'no rid' ELSE 'stored' END AS outcome, count(*) AS n FROM embeddings GROUP BY 1",
+    "collection_batch": f"SELECT query_id, id, score FROM ({_ALL}, {_RANKED})",
+    "collection_hybrid": f"SELECT query_id, id, score FROM ({_ALL}, {_RANKED})",
+    "collection_records": "SELECT vec_id, label FROM embeddings",
+    "collection_ids": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id FROM embeddings",
+    "ordinals": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS ord, vec_id AS id FROM embeddings WHERE label <> 1",
+    "float_bytes": f"WITH {_V}, e AS (SELECT id, unnest(range(len(x)))::INT AS pos, unnest(x) AS x FROM v) SELECT id, pos, round(x, 6) AS x FROM e",
+    "hamming_words": f"WITH {_V}, {_SIGNS} SELECT a.id, sum(bit_count(xor(a.code, b.code)))::INT AS distance FROM sig a JOIN sig b ON a.t = b.t AND b.id = 0 GROUP BY a.id",
     "random_vectors": "SELECT range::BIGINT AS id, 1.0::DOUBLE AS norm FROM range(200)",
     "euclidean_2d": "SELECT p_partkey, round(sqrt((p_size - 10.0) ** 2 + (p_retailprice - 1000.0) ** 2), 4) AS distance FROM part",
 }
