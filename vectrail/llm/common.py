@@ -63,6 +63,21 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hash_sample(df: DataFrame, most: int, seed: int, by: str = "doc_id") -> DataFrame:
+    """At most ``most`` rows in order of a seeded hash.
+
+    Rows are thinned by the same hash first, so that the final limit sees little
+    more than ``most`` rows however many there are.
+    """
+    n = df.count()
+    hashed = F.xxhash64(F.col(by), F.lit(seed))
+    if n > 2 * most:
+        few = df.where(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, (1.5 * most + 100) / n)))
+        df = few.withColumn("_h", F.pmod(hashed, F.lit(1 << 30))).orderBy("_h", by).drop("_h")
+        return df.limit(most)
+    return df.orderBy(F.pmod(hashed, F.lit(1 << 30)), by).limit(most)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

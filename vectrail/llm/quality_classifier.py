@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, measured_batch, measured_schema, written
+from .common import hash_sample, keyed, measured_batch, measured_schema, written
 from .quality_rules import repeated_words
 
 NAMES = (
@@ -146,7 +146,7 @@ def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 
 def _rows(df: DataFrame, most: int, seed: int) -> np.ndarray:
-    got = df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("x").toPandas()["x"]
+    got = hash_sample(df, most, seed).select("x").toPandas()["x"]
     return np.stack(got.to_list()).astype(np.float64) if len(got) else np.empty((0, len(NAMES)))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hash_sample, written
 
 CENTROIDS = 16
 BLOCK, CHUNK, CHUNKS_PER_TASK = 4096, 512, 64
@@ -132,7 +132,7 @@ def build_index(vectors: DataFrame, sample: int = 8192, threshold: float = 0.2)
     if dims is None:
         return rows.withColumn("code", F.lit(None).cast("binary")), None, 0
     rows = rows.where(F.size("vector") == dims.d)
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toPandas()["vector"]
+    some = hash_sample(rows, sample, 4, "id").select("vector").toPandas()["vector"]
     book = Codebook(np.stack(some.to_list()).astype(np.float64), threshold=threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keyed, measured_batch, measured_schema, written
+from .common import hash_sample, held_out, keyed, measured_batch, measured_schema, written
 
 LEVEL = 12
 WINDOW = 8
@@ -136,7 +136,7 @@ def spread(text: str, most_words: int, runs: int = 20) -> str:
 def _sample(labels: DataFrame, label: str, value: int, most: int) -> DataFrame:
     rows = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"))
     rows = rows.where(~held_out()).distinct()
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(value)), "doc_id").limit(most).withColumn("y", F.lit(value))
+    return hash_sample(rows, most, value).withColumn("y", F.lit(value))
 
 
 def score_toxicity(
