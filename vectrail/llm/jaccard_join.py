@@ -264,8 +264,8 @@ def _probes(shared: DataFrame, buckets: int, partitions: int) -> DataFrame:
     return shared.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(6))
 
 
-def _groups(probes: DataFrame, partitions: int) -> DataFrame:
-    """hub, node, l: the nodes that are to be compared with one another; a hub is in its own group."""
+def _memberships(probes: DataFrame, buckets: int, partitions: int) -> DataFrame:
+    """Packed by node: (hub, node, l) of each list that holds a probed shingle; a hub is in its own group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, fp, n, l, role, rank = _unpacked(batches, [np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32])  # noqa: E741
@@ -295,12 +295,30 @@ def _groups(probes: DataFrame, partitions: int) -> DataFrame:
             return
         first = np.r_[True, at[1:] != at[:-1]]
         hub = fp[first][np.cumsum(first) - 1]
+        rows = np.unique(np.rec.fromarrays([hub, fp, l]))
+        hub, fp, l = (np.ascontiguousarray(rows[f]) for f in rows.dtype.names)  # noqa: E741
+        for i in range(0, len(rows), ENTRIES):
+            j = i + ENTRIES
+            yield _packed(_bucket(fp[i:j], buckets), [hub[i:j], fp[i:j], l[i:j]])
+
+    return probes.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(3))
+
+
+def _groups(memberships: DataFrame, partitions: int) -> DataFrame:
+    """hub, fp, l: the nodes that are to be compared with one another.
+
+    Nodes that are alike share many lists, most of one hub, so their rows are made
+    distinct here, before there is a row for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, fp, l = _unpacked(batches, [np.int64, np.int64, np.uint8])  # noqa: E741
         rows = np.unique(np.rec.fromarrays([hub, fp, l.astype(np.int32)]))
         for i in range(0, len(rows), 50_000):
             r = rows[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[f])) for f in r.dtype.names], ["hub", "fp", "l"])
 
-    return probes.repartition(partitions, "bucket").mapInArrow(run, "hub bigint, fp bigint, l int")
+    return memberships.repartition(partitions, "bucket").mapInArrow(run, "hub bigint, fp bigint, l int")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -425,7 +443,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     shared = _shared(_prefix_entries(docs, buckets), buckets, partitions)
     shared = shared.unionByName(_sizes_packed(nodes, buckets))
-    groups = written(_groups(_probes(shared, buckets, partitions), partitions).groupBy("hub", "fp").agg(F.max("l").alias("l")), "jaccard-groups")
+    memberships = _memberships(_probes(shared, buckets, partitions), buckets, partitions)
+    groups = written(_groups(memberships, partitions), "jaccard-groups")
 
     sizes = groups.groupBy("hub").agg(F.count("*").alias("m"))
     split = groups.join(sizes, "hub").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
