@@ -25,7 +25,10 @@ EXPRESSIONS = {
 
 
 def register(spark: SparkSession, planes: np.ndarray | None = None) -> None:
-    """Make the vec_ functions available to SQL; ``planes`` (bits, dim) defines ``vec_lsh``."""
+    """Make the vec_ functions available to SQL; ``planes`` (bits, dim) defines ``vec_lsh``.
+
+    ``vec_mean_pool`` holds a group's vectors in one task; for large groups use ``vector.mean_vector``.
+    """
     for name, body in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     spark.udf.register("vec_fwht", vector.fwht_function())
@@ -47,9 +50,10 @@ def register(spark: SparkSession, planes: np.ndarray | None = None) -> None:
 
 
 def lsh_function(planes: np.ndarray):
+    """Signature words of a vector; null for null."""
+
     @F.pandas_udf("array<bigint>")
     def run(v: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(a, np.float64) for a in v]) if len(v) else np.empty((0, planes.shape[1]))
-        return pd.Series(list(kernels.sign_words(x @ planes.T)))
+        return v.map(lambda x: None if x is None else kernels.sign_words(np.asarray(x, np.float64)[None] @ planes.T)[0])
 
     return run

@@ -114,7 +114,7 @@ def train(table: DataFrame, dim: int, parameters: AnnParameters, similarity: Sim
     some = reservoir(table.where((F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull())), parameters.sample, parameters.seed)
     rows, _ = kernels.matrix(some.select("vector").toArrow().column(0), dim)
     x = prepared(rows[np.isfinite(rows).all(1)], similarity)
-    k = max(1, min(parameters.cells or round(math.sqrt(n)), len(x)))
+    k = max(1, min(parameters.cells or round(math.sqrt(n)), -(-len(x) // 4)))  # a few sampled rows for each cell
     if len(x) <= 20_000:
         cells = _kmeans(x, k, np.random.default_rng(parameters.seed))
     else:
