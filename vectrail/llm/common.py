@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remover, shared_path
+
 #: A word: a run of characters other than space and \\t \\n \\v \\f \\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,29 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        folder = os.path.join(tempfile.gettempdir(), "vectrail-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors.
 
-    The table lies under the application's id, so that a cluster can sweep
-    what ended applications left; ``discard`` drops it earlier.
+    The table goes when the application ends; ``discard`` drops it earlier.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._vectrail_path = path
     return out
 
@@ -50,12 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and nothing reads any more."""
     for t in tables:
-        path = getattr(t, "_vectrail_path", None)
-        if path:
-            with contextlib.suppress(Exception):
-                jvm = t.sparkSession.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(t, "_vectrail_path", None):
+            remover(t.sparkSession)(path)
 
 
 def tasks(spark: SparkSession, least: int = 1) -> int:
@@ -84,18 +64,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def keyed(docs: DataFrame, carry: bool) -> DataFrame:
-    """doc_id, held_out, text and, if asked for, the whole row as the struct ``doc``, whose names cannot clash."""
-    row = [F.struct(*docs.columns).alias("doc")] if carry else []
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"), *row)
+    """doc_id, held_out and text or, to ``carry`` rows, the whole row as the struct ``doc``, whose names cannot clash."""
+    row = F.struct(*docs.columns).alias("doc") if carry else F.col("text").cast("string").alias("text")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), row)
 
 
 def measured_schema(slim: DataFrame, kind: str) -> str:
-    """What ``measured_batch`` makes of the rows of ``keyed``."""
+    """What ``measured`` makes of the rows of ``keyed``."""
     return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text"), f"x {kind}"])
 
 
-def measured_batch(batch: pa.RecordBatch, x: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
-    """A batch of ``keyed`` with a row of ``x`` as an array in place of its text."""
-    ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-    names = [n for n in batch.schema.names if n != "text"]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(ends, pa.array(x.ravel(), kind))], [*names, "x"])
+def measured(batches: Iterator[pa.RecordBatch], measure: Callable[[str | None], list[float]], width: int, kind: pa.DataType, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Rows of ``keyed`` with ``width`` measures of their text, as an array, in place of the text alone.
+
+    Batches are taken a few rows at a time, to hold few texts as Python strings.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            names = batch.schema.names
+            texts = batch.column("text") if "text" in names else batch.column("doc").field("text")
+            x = np.array([measure(t) for t in texts.to_pylist()], np.float64).reshape(-1, width)
+            ends = np.arange(len(x) + 1, dtype=np.int32) * width
+            keep = [n for n in names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.ListArray.from_arrays(ends, pa.array(x.ravel()).cast(kind))], [*keep, "x"])

@@ -26,7 +26,6 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, keyed, measured_batch, measured_schema, written
+from .common import hash_sample, keyed, measured, measured_schema, written
 from .quality_rules import repeated_words
 
 NAMES = (
@@ -136,13 +135,8 @@ class PUClassifier:
 def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, held_out, x array<float> of every whole text; with ``carry``, also the row as the struct ``doc``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float32).reshape(-1, len(NAMES))
-            yield measured_batch(batch, x, pa.float32())
-
     slim = keyed(docs, carry)
-    return slim.mapInArrow(run, measured_schema(slim, "array<float>"))
+    return slim.mapInArrow(lambda batches: measured(batches, statistics, len(NAMES), pa.float32()), measured_schema(slim, "array<float>"))
 
 
 def _rows(df: DataFrame, most: int, seed: int) -> np.ndarray:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, keyed, measured_batch, measured_schema, written
+from .common import hash_sample, held_out, keyed, measured, measured_schema, written
 
 LEVEL = 12
 WINDOW = 8
@@ -164,20 +164,16 @@ def score_toxicity(
     del rows, toxic, ordinary
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(*dictionaries)
-        width = len(THRESHOLDS) + 3
-        for batch in batches:
-            x = np.array([distance.features(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, width)
-            yield measured_batch(batch, x, pa.float64())
+        return measured(batches, Distance(*dictionaries).features, len(THRESHOLDS) + 3, pa.float64())
 
     slim = keyed(docs, carry)
-    measured = written(slim.mapInArrow(measure, measured_schema(slim, "array<double>")), "toxicity-windows")
-    learn = measured.join(chosen, "doc_id").select("x", "y").collect()
+    windows = written(slim.mapInArrow(measure, measured_schema(slim, "array<double>")), "toxicity-windows")
+    learn = windows.join(chosen, "doc_id").select("x", "y").collect()
     model = Calibration(np.array([r.x for r in learn]), np.array([r.y for r in learn], np.float64))
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(x.to_list())) if len(x) else [], dtype="float64")
 
-    scored = measured.withColumn("score", score("x")).drop("x")
+    scored = windows.withColumn("score", score("x")).drop("x")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
