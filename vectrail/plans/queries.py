@@ -413,7 +413,7 @@ ORACLE = {
     "lsh_search": f"WITH {_V}, {_SIGNS}, c AS (SELECT DISTINCT a.id AS query_id, b.id FROM sig a JOIN sig b USING (t, code)), s AS (SELECT c.query_id, c.id, list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) AS score FROM c JOIN v a ON a.id = c.query_id JOIN v b ON b.id = c.id), {_RANKED}",
     "hamming": f"WITH {_V}, {_SIGNS} SELECT a.id, a.t, bit_count(xor(a.code, b.code))::INT AS distance FROM sig a JOIN sig b ON a.t = b.t AND b.id = 0",
     "delta_anti": "SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id <= (SELECT max(vec_id) // 2 FROM embeddings))",
-    "metadata_join": f"SELECT c.id, c.score, coalesce({_META_SQL}::VARCHAR, '{{}}') AS meta FROM ({_COSINE_TOPK}) c LEFT JOIN documents ON doc_id = c.id",
+    "metadata_join": f"SELECT c.id, c.score, CASE WHEN doc_id IS NULL THEN '{{}}' ELSE {_META_SQL}::VARCHAR END AS meta FROM ({_COSINE_TOPK}) c LEFT JOIN documents ON doc_id = c.id",
     "metadata_join_inner": f"SELECT c.id, c.score, {_META_SQL}::VARCHAR AS meta FROM ({_COSINE_TOPK}) c JOIN documents ON doc_id = c.id",
     "metadata_json": "SELECT event_id, event_type AS rid, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "vector_json": f"WITH {_V} SELECT id, round(sqrt(list_dot_product(x, x)), 5) AS norm FROM v",
