@@ -110,11 +110,12 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     register.register(spark)
-    _vectors(spark, sf_dir).createOrReplaceTempView("vectrail_vectors")
+    rows = _vectors(spark, sf_dir)
+    rows.createOrReplaceTempView("vectrail_vectors")
+    q = "array(" + ", ".join(f"{x!r}D" for x in _query(rows)) + ")"
     return spark.sql(
-        "SELECT v.id, round(vec_dot(q.vector, v.vector), 6) AS dot, round(vec_cosine(q.vector, v.vector), 6) AS cosine, "
-        "round(vec_l2(q.vector, v.vector), 6) AS l2, vec_hamming(v.id, q.id + 5) AS hamming "
-        "FROM vectrail_vectors v JOIN (SELECT * FROM vectrail_vectors WHERE id = 0) q"
+        f"SELECT id, round(vec_dot({q}, vector), 6) AS dot, round(vec_cosine({q}, vector), 6) AS cosine, "
+        f"round(vec_l2({q}, vector), 6) AS l2, vec_hamming(id, 5) AS hamming FROM vectrail_vectors"
     )
 
 
@@ -332,8 +333,8 @@ def float_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hamming_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signatures of a row as one wide code, against those of row 0."""
     wide = _signatures(spark, sf_dir).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.element_at("code", 1).alias("c")))), lambda z: z["c"]).alias("words"))
-    own = wide.where("id = 0").select(F.col("words").alias("own"))
-    return wide.join(F.broadcast(own)).select("id", vector.hamming_words("words", "own").alias("distance"))
+    own = F.lit(wide.where("id = 0").first().words).cast("array<bigint>")
+    return wide.select("id", vector.hamming_words("words", own).alias("distance"))
 
 
 QUERIES = {
