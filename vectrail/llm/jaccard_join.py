@@ -22,9 +22,9 @@ no partner and is done; in most corpora that is nearly every node.
 
 *Candidates.*  In a list of nodes that share a probed shingle, those of like size
 join the group of the list's hub, so that a pair that shares a probed shingle
-meets in a group and groups are few.  No pairs are formed in the shuffle.  Groups
-beyond ``BLOCK`` nodes are split into blocks, and pairs of blocks are tasks.  In a
-task, pairs with too few shared prefix shingles are dropped, the others are
+meets in a group and groups are few.  No pairs are formed in the shuffle.  In groups
+beyond ``BLOCK`` nodes, members are first compared with the hub; those that link
+with it need not meet one another, the others meet all, block by block.  In a task, pairs with too few shared prefix shingles are dropped, the others are
 verified on whole sets, and a spanning forest of the links leaves it.
 
 *Components* by alternating large-star and small-star steps, each written to
@@ -129,7 +129,7 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp of every document."""
+    """doc_id, n, fp, key of every document; the key is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +138,26 @@ def _sets(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 n.append(len(s))
                 fp.append(fingerprint(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), batch.column(2)], ["doc_id", "n", "fp", "key"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp bigint")
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, key bigint")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """fp, text of the nodes, from one of their rows each; what repeats an id and a text goes as early as may be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = []
+            for fp in batch.column(0).to_pylist():
+                fresh.append(fp not in seen)
+                if len(seen) < ENTRIES:
+                    seen.add(fp)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(run, "fp bigint, text binary")
 
 
 def _prefix_entries(docs: DataFrame, buckets: int) -> DataFrame:
@@ -401,15 +418,53 @@ def _verified(members: DataFrame) -> DataFrame:
                         yield out
                     now, group = (hub, i, j), {}
                 if fp not in group:
-                    s = shingles(text)
-                    if fingerprint(s) == fp:  # an id may stand for several texts
-                        group[fp] = (s, l)
+                    group[fp] = (shingles(text), l)
         if len(group) > 1 and (out := edges(group)):
             yield out
 
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
+def _stars(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """hub, fp, l, linked: which members of large groups link with their hub."""
+    hubs = members.select("hub").distinct().join(texts, F.col("hub") == F.col("fp")).select("hub", F.col("text").alias("hub_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None
+        for batch in batches:
+            linked = []
+            for hub, fp, text, hub_text in zip(*(batch.column(c).to_pylist() for c in ("hub", "fp", "text", "hub_text")), strict=True):
+                if hub != now:
+                    now, own = hub, shingles(hub_text)
+                s = shingles(text)
+                shared = len(np.intersect1d(own, s, assume_unique=True))
+                linked.append(100 * shared >= PERCENT * (len(own) + len(s) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("fp"), batch.column("l"), pa.array(linked, pa.bool_())], ["hub", "fp", "l", "linked"])
+
+    return members.join(texts, "fp").join(hubs, "hub").mapInArrow(run, "hub bigint, fp bigint, l int, linked boolean")
+
+
+def _blocks(stars: DataFrame) -> DataFrame:
+    """hub, i, j, fp, l: large groups as pairs of blocks.
+
+    Members that link with the hub are in one component and need not meet one
+    another; those that do not link with it meet all blocks.  Task (i, j) holds block
+    i of the former and j of the latter; with i below 0, blocks -1 - i and j of the
+    latter.
+    """
+    count = lambda which: F.ceil(F.sum(which.cast("int")) / BLOCK).cast("int")
+    sizes = stars.groupBy("hub").agg(count(F.col("linked")).alias("near"), count(~F.col("linked")).alias("far"))
+    each = stars.join(sizes.where("far > 0"), "hub")
+    place = lambda blocks: F.pmod(F.xxhash64("fp"), F.col(blocks)).cast("int")
+    range_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    names = ["hub", "i", "j", "fp", "l"]
+    near = each.where("linked").withColumn("i", place("near")).withColumn("j", range_of("far"))
+    far = each.where("not linked").withColumn("c", place("far"))
+    with_near = far.where("near > 0").withColumn("i", range_of("near")).withColumn("j", F.col("c"))
+    with_far = far.withColumn("k", range_of("far")).withColumn("i", -1 - F.least("c", "k")).withColumn("j", F.greatest("c", "k"))
+    return near.select(names).unionByName(with_near.select(names)).unionByName(with_far.select(names))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: the least node of each component, by alternating large-star and small-star steps."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -436,7 +491,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = written(_sets(docs), "jaccard-sets")
     some = sets.where("n > 0 and doc_id is not null")
-    nodes = some.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    nodes = some.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.max("n").alias("n")).withColumn("least", F.col("row.doc_id"))
     total = some.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / 32))).first()[0] or 0
     partitions = max(tasks(spark), -(-int(total) // ENTRIES))
     buckets = 4 * partitions
@@ -446,15 +501,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     memberships = _memberships(_probes(shared, buckets, partitions), buckets, partitions)
     groups = written(_groups(memberships, partitions), "jaccard-groups")
 
-    sizes = groups.groupBy("hub").agg(F.count("*").alias("m"))
-    split = groups.join(sizes, "hub").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    split = split.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("hub", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "fp", "l")
-    wanted = groups.select("fp").distinct().join(nodes.select("fp", F.col("least").alias("doc_id")), "fp")
-    texts = docs.join(wanted, "doc_id").select("fp", "text")
-    members = split.join(texts, "fp").select("hub", "i", "j", "fp", "l", "text")
+    texts = written(_texts(docs, nodes.join(groups.select("fp").distinct(), "fp")), "jaccard-texts")
+    sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("m")), "hub")
+    small = sized.where(F.col("m") <= BLOCK).select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "l")
+    stars = written(_stars(sized.where(F.col("m") > BLOCK).select("hub", "fp", "l"), texts), "jaccard-stars")
+    members = small.unionByName(_blocks(stars)).join(texts, "fp").select("hub", "i", "j", "fp", "l", "text")
     dealt = members.repartition(partitions, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    roots = components(_verified(dealt))
+    near_hub = stars.where("linked and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    roots = components(_verified(dealt).unionByName(near_hub))
 
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
