@@ -88,6 +88,10 @@ def test_distance():
     distance = toxicity.Distance(*toxicity.train_dictionaries(toxic[:100], ordinary[:100]))
     assert np.mean([distance.windows(t).max() for t in toxic[100:]]) > np.mean([distance.windows(t).max() for t in ordinary[100:]]) + 2
     assert len(distance.windows(None)) == 0 and len(distance.features("")) == len(distance.features("a b"))
+    marks = toxicity.characteristic([set(toxicity.words_of(t)) for t in toxic[:100]], [set(toxicity.words_of(t)) for t in ordinary[:100]])
+    assert set(marks) == {b"zwicked", b"qvile", b"xfoul"}
+    assert toxicity.unlike([toxic[0], toxic[0].upper(), ordinary[0]]) == [toxic[0], ordinary[0]]
+    assert toxicity.train_dictionaries(["bad bad"], ["good day"])[0]
     assert len(toxicity.spread(" ".join(map(str, range(1000))), 100).split()) == 100
 
 
@@ -324,6 +328,16 @@ def test_components_odd(spark):
     assert jaccard_join.jaccard_components(no_documents(spark)).count() == 0
 
 
+def test_components_of_repeated_ids(spark, monkeypatch):
+    """One id may stand for several texts, and a row may repeat many times."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    docs = [(i % 40, t) for i, t in near_copies(3, 4, 40)] * 2
+    docs += docs[:1] * 300
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    assert got == brute_components(docs)
+
+
 def test_prefix_lemma():
     """Sets that link share l of their l-prefixes, and one of them is among those that are probed with."""
     rng = random.Random(4)

@@ -6,11 +6,15 @@ dictionary, and the bytes that the toxic one saves are the window's distance.
 How many windows reach each of several thresholds, calibrated on labelled
 documents, gives the document's score.
 
-Toxic text is mostly ordinary language, and a dictionary trained on it as it
-stands learns that.  So the toxic dictionary is trained on the words of toxic
-documents that are surely rarer in ordinary ones (the lower confidence bound of
-the odds), and is laid behind the ordinary content: windows without such words
-compress alike with both, and the distance is free of noise.
+The ordinary dictionary comes from zstandard's trainer, on windows of ordinary
+documents.  Toxic text is mostly ordinary language too, and that trainer would
+learn just this from it.  So the toxic dictionary holds the beginnings of words
+that are characteristic of toxic documents (a likelihood-ratio test over documents
+of either class, copies left out) and toxic words that begin so, behind the
+ordinary content.  Between the two
+lie the ordinary words that look most like them.  Windows of ordinary language
+then compress alike with both dictionaries, and the distance is nearly free of
+noise.
 
 Labels are learnt only from rows that are not held out, at most ``most_toxic``
 and ``most_ordinary`` of them in hash order, and at most ``most_words`` words of
@@ -27,13 +31,13 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,37 +46,87 @@ from .common import hash_sample, held_out, keyed, measured, measured_schema, wri
 
 LEVEL = 12
 WINDOW = 8
-ORDINARY_BYTES = 50_000
-TOXIC_BYTES = 2_048
+ORDINARY_BYTES, ALIKE_BYTES, TOXIC_BYTES = 100_000, 16_000, 4_096
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 EDGES = b".,;:!?\"'()[]{}*&%$#|<>-_"
+#: Lengths of the beginnings of words that are tested.
+SHORTEST, LONGEST = 4, 12
 
 
 def words_of(text: str) -> list[bytes]:
     return [w for w in (x.strip(EDGES) for x in text.lower().encode("utf-8", "surrogatepass").split()) if w]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str], least: int = 4, odds: float = 3.0) -> tuple[bytes, bytes]:
+def unlike(texts: list[str]) -> list[str]:
+    """Without texts that share one of three min-hashes of four-word windows with an earlier one."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for t in texts:
+        w = t.lower().encode("utf-8", "surrogatepass").split()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 4])) for i in range(max(1, len(w) - 3))), np.uint64)
+        keys = {(k, int((hashes * np.uint64(m)).min())) for k, m in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))}
+        if not keys & seen:
+            seen |= keys
+            out.append(t)
+    return out
+
+
+def beginnings(words: Iterable[bytes]) -> set[bytes]:
+    return {w[:k] for w in words for k in range(min(SHORTEST, len(w)), min(LONGEST, len(w)) + 1)}
+
+
+def characteristic(toxic: list[set[bytes]], ordinary: list[set[bytes]], least: int = 4, odds: float = 4.0, evidence: float = 20.0) -> list[bytes]:
+    """Beginnings of words that toxic documents hold far more often, the strongest first; arguments: words of each document.
+
+    One gives way to a longer one that nearly all its documents hold, and a longer
+    one goes when a shorter one is chosen.
+    """
+    found = Counter(s for words in toxic for s in beginnings(words))
+    found = {s: n for s, n in found.items() if n >= least}
+    usual = Counter(s for words in ordinary for s in beginnings(words) if s in found)
+    n_toxic, n_ordinary = len(toxic), len(ordinary)
+    share = n_toxic / (n_toxic + n_ordinary)
+    strength = {}
+    for s, x in found.items():
+        y, n = usual[s], found[s] + usual[s]
+        if (x + 0.5) / (n_toxic + 1) > odds * (y + 0.5) / (n_ordinary + 1):
+            g = 2 * (x * math.log(x / (n * share)) + (y * math.log(y / (n * (1 - share))) if y else 0.0))
+            if g >= evidence:
+                strength[s] = g
+    longer = Counter()
+    for s in strength:
+        longer[s[:-1]] = max(longer[s[:-1]], found[s])
+    chosen: list[bytes] = []
+    for s in sorted(strength, key=lambda s: (-strength[s], s)):
+        if longer[s] < 0.8 * found[s] and not any(s[:k] in chosen for k in range(1, len(s))):
+            chosen.append(s)
+    return chosen
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Raw contents of the ordinary and of the toxic dictionary."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts, counts in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for t in texts:
-            counts.update(set(words_of(t)))
-
-    def surely(word: bytes) -> float:
-        a, b = in_toxic[word] + 0.5, in_ordinary[word] + 0.5
-        return math.log(a / (len(toxic) + 1) / (b / (len(ordinary) + 1))) - 2 * math.sqrt(1 / a + 1 / b)
-
-    marked = {w: n for w, n in in_toxic.items() if n >= least and len(w) > 2 and surely(w) > math.log(odds)}
-    usual = sorted((n * len(w), w) for w, n in in_ordinary.items() if n >= 2 and w not in marked)
-    base = b" " + b"  ".join(w for _, w in usual)[-ORDINARY_BYTES:] + b" "
-    samples = [b" " + b"  ".join(w for w in words_of(t) if w in marked) + b" " for t in toxic]
-    samples = [s for s in samples if len(s) > 2]
+    toxic_words, ordinary_words = ([set(words_of(t)) for t in unlike(texts)] for texts in (toxic, ordinary))
+    marks = characteristic(toxic_words, ordinary_words)
+    marked = set(marks)
+    of_mark = lambda w: any(w[:k] in marked for k in range(1, len(w) + 1))
+    counts, in_toxic = (Counter(w for words in documents for w in words) for documents in (ordinary_words, toxic_words))
+    plain = {w: n for w, n in counts.items() if not of_mark(w)}
+    whole = sorted(((n, w) for w, n in in_toxic.items() if n >= 2 and n > 4 * counts[w] and w not in marked and of_mark(w)), reverse=True)
+    held, size = [], 0
+    for s in [*marks, *(w for _, w in whole)]:
+        size += len(s) + 2
+        if size > TOXIC_BYTES:
+            break
+        held.append(s)
+    pieces = {s[i : i + 4] for s in marks for i in range(len(s) - 3)}
+    alike = sorted((n, w) for w, n in plain.items() if any(w[i : i + 4] in pieces for i in range(len(w) - 3)))
     try:
-        special = zstandard.train_dictionary(TOXIC_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples for its trainer: their words as they are
-        special = b" " + b"  ".join(sorted(marked, key=lambda w: (marked[w] * surely(w), w)))[-TOXIC_BYTES:] + b" "
-    return base, special
+        windows = (t.lower().encode("utf-8", "surrogatepass").split() for t in ordinary)
+        base = zstandard.train_dictionary(ORDINARY_BYTES, [b" " + b" ".join(w[i : i + WINDOW]) + b" " for w in windows for i in range(0, len(w), WINDOW)]).as_bytes()
+    except zstandard.ZstdError:  # too little text for the trainer: the words that save most
+        base = b"  ".join(w for _, w in sorted((n * len(w), w) for w, n in plain.items()))[-ORDINARY_BYTES:]
+    base += b" " + b"  ".join(w for _, w in alike)[-ALIKE_BYTES:] + b" "
+    return base, b" " + b"  ".join(reversed(held))
 
 
 class Distance:
@@ -145,8 +199,8 @@ def score_toxicity(
     """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
     spark = docs.sparkSession
     ids = [tuple(r) for v, most in ((1, most_toxic), (0, most_ordinary)) for r in _sample(labels, label, v, most).collect()]
-    schema = "doc_id bigint, y int"
-    chosen = F.broadcast(spark.createDataFrame(ids, schema))  # at most most_toxic + most_ordinary rows
+    # At most most_toxic + most_ordinary rows.
+    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id bigint, y int"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,8 +212,6 @@ def score_toxicity(
     toxic, ordinary = (sorted({r.text for r in rows if r.y == v}) for v in (1, 0))
     if not toxic or not ordinary:
         return keyed(docs, carry).drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    for texts in (toxic, ordinary):
-        random.Random(9).shuffle(texts)
     dictionaries = train_dictionaries(toxic, ordinary)
     del rows, toxic, ordinary
 
