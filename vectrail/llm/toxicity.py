@@ -47,6 +47,8 @@ from .common import hash_sample, held_out, keyed, measured, measured_schema, wri
 LEVEL = 12
 WINDOW = 8
 ORDINARY_BYTES, ALIKE_BYTES, TOXIC_BYTES = 100_000, 16_000, 4_096
+#: Text that zstandard's trainer sees; it holds some sixteen times as much.
+TRAINER_BYTES = 16 << 20
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 EDGES = b".,;:!?\"'()[]{}*&%$#|<>-_"
 #: Lengths of the beginnings of words that are tested.
@@ -75,8 +77,8 @@ def beginnings(words: Iterable[bytes]) -> set[bytes]:
     return {w[:k] for w in words for k in range(min(SHORTEST, len(w)), min(LONGEST, len(w)) + 1)}
 
 
-def characteristic(toxic: list[set[bytes]], ordinary: list[set[bytes]], least: int = 4, odds: float = 4.0, evidence: float = 20.0) -> list[bytes]:
-    """Beginnings of words that toxic documents hold far more often, the strongest first; arguments: words of each document.
+def characteristic(toxic: list[tuple[bytes, ...]], ordinary: list[tuple[bytes, ...]], least: int = 4, odds: float = 4.0, evidence: float = 20.0) -> list[bytes]:
+    """Beginnings of words that toxic documents hold far more often, the strongest first; arguments: distinct words of each document.
 
     One gives way to a longer one that nearly all its documents hold, and a longer
     one goes when a shorter one is chosen.
@@ -105,7 +107,9 @@ def characteristic(toxic: list[set[bytes]], ordinary: list[set[bytes]], least: i
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Raw contents of the ordinary and of the toxic dictionary."""
-    toxic_words, ordinary_words = ([set(words_of(t)) for t in unlike(texts)] for texts in (toxic, ordinary))
+    known: dict[bytes, bytes] = {}
+    distinct = lambda t: tuple(known.setdefault(w, w) for w in set(words_of(t)))
+    toxic_words, ordinary_words = ([distinct(t) for t in unlike(texts)] for texts in (toxic, ordinary))
     marks = characteristic(toxic_words, ordinary_words)
     marked = set(marks)
     of_mark = lambda w: any(w[:k] in marked for k in range(1, len(w) + 1))
@@ -121,8 +125,13 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     pieces = {s[i : i + 4] for s in marks for i in range(len(s) - 3)}
     alike = sorted((n, w) for w, n in plain.items() if any(w[i : i + 4] in pieces for i in range(len(w) - 3)))
     try:
-        windows = (t.lower().encode("utf-8", "surrogatepass").split() for t in ordinary)
-        base = zstandard.train_dictionary(ORDINARY_BYTES, [b" " + b" ".join(w[i : i + WINDOW]) + b" " for w in windows for i in range(0, len(w), WINDOW)]).as_bytes()
+        samples, size = [], 0
+        for words in (t.lower().encode("utf-8", "surrogatepass").split() for t in ordinary):
+            if size > TRAINER_BYTES:
+                break
+            samples += (b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW))
+            size += sum(map(len, words)) + len(words)
+        base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer: the words that save most
         base = b"  ".join(w for _, w in sorted((n * len(w), w) for w, n in plain.items()))[-ORDINARY_BYTES:]
     base += b" " + b"  ".join(w for _, w in alike)[-ALIKE_BYTES:] + b" "
@@ -209,7 +218,7 @@ def score_toxicity(
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = own.join(chosen, "doc_id").select("text", "y").mapInArrow(thin, "text string, y int").collect() if ids else []
-    toxic, ordinary = (sorted({r.text for r in rows if r.y == v}) for v in (1, 0))
+    toxic, ordinary = (sorted({r.text for r in rows if r.y == v}, key=lambda t: xxhash.xxh3_64_intdigest(t.encode())) for v in (1, 0))
     if not toxic or not ordinary:
         return keyed(docs, carry).drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     dictionaries = train_dictionaries(toxic, ordinary)
