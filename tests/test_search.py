@@ -117,6 +117,23 @@ def test_ann(spark, random_rows, similarity, tmp_path):
         assert {(r.query_id, r.id) for r in again} == {(r.query_id, r.id) for r in found}
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_defaults(spark, sf, tmp_path):
+    """Cosine, the 11 nearest at threshold 0.2, the query's own row excluded."""
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    pairs = lambda found: {(r.query_id, r.id) for r in found.collect() if r.query_id != r.id}
+    best = pairs(search.search_batch(rows, rows, 11, 0.2, COS, 64))
+    index = ann.AnnIndex.build(rows, 64)
+    found = pairs(index.search(rows, rows, 11, 0.2))
+    assert len(best & found) >= 0.9 * len(best)
+    assert [s.k for s in index.settings] == [11, 110] and all(s.recall >= 0.95 for s in index.settings)
+    wide = pairs(search.search_batch(rows, rows.where("id < 50"), 100, None, COS, 64))
+    assert len(wide & pairs(index.search(rows, rows.where("id < 50"), 100, None))) >= 0.9 * len(wide)
+    index.save(str(tmp_path / "v1"))
+    again = ann.AnnIndex.load(spark, str(tmp_path / "v1"))
+    assert again.settings == index.settings and [again.reach(k) for k in (5, 50, 500)] == [index.reach(k) for k in (5, 50, 500)]
+
+
 def test_few_rows(spark):
     rows = table(spark, [[1.0, 0.0], [0.0, 1.0]])
     assert ann.AnnIndex.build(rows, 2).search(rows, rows, 5, None).count() >= 2

@@ -6,6 +6,11 @@ the index, so others are not read), ranks their codes by table lookups, keeps
 ``k * oversample`` of them, and scores those exactly; the threshold holds for
 exact scores only.
 
+How many cells and codes a search needs depends on the vectors, so a build
+measures it: rows chosen by hash are searched exactly, themselves left out, and
+the fewest cells and codes that find ``recall`` of their neighbours become the
+index's settings.
+
 An index is a folder ``v<millis>`` with the tables ``cells``, ``codebook``,
 ``codes`` (partitioned by cell) and a manifest.  It is built as a batch job,
 made active by replacing a pointer file, and old ones are purged.
@@ -25,9 +30,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..model import DEFAULT_THRESHOLD, DEFAULT_TOP_K, Similarity
+from ..sources.scratch import shared_path
 from .cluster import centroids, reservoir
 from .lsh import rerank
-from .search import top_k
+from .search import search_batch, top_k
 
 #: Rows of a cell that a task holds.
 SHARE = 65_536
@@ -35,15 +41,33 @@ SHARE = 65_536
 
 @dataclass
 class AnnParameters:
-    """``cells``: sqrt(n) if None. ``sample`` bounds what the model is fitted on."""
+    """``cells``: sqrt(n) if None. ``sample`` bounds what the model is fitted on.
+
+    ``probes``: measured if None, and then ``oversample`` is the least; else both are taken as given.
+    The measure takes ``tested`` rows as queries, for each k of ``neighbours``; a search for more than
+    the last of these probes all cells.
+    """
 
     cells: int | None = None
     subspaces: int = 16
     codes: int = 256
     sample: int = 50_000
-    probes: int = 8
+    probes: int | None = None
     oversample: int = 8
     seed: int = 1
+    recall: float = 0.95
+    tested: int = 256
+    neighbours: tuple[int, ...] = (DEFAULT_TOP_K, 10 * DEFAULT_TOP_K)
+
+
+@dataclass
+class Setting:
+    """What a search for at most ``k`` rows takes, and the recall measured with it."""
+
+    k: int
+    probes: int
+    keep: int
+    recall: float
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -107,11 +131,15 @@ def prepared(x: np.ndarray, similarity: Similarity) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def _usable(table: DataFrame, dim: int) -> DataFrame:
+    return table.where((F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull()))
+
+
 def train(table: DataFrame, dim: int, parameters: AnnParameters, similarity: Similarity) -> Quantizer:
     n = table.count()
     if not n:
         raise ValueError("an index needs rows")
-    some = reservoir(table.where((F.size("vector") == dim) & F.forall("vector", lambda x: x.isNotNull())), parameters.sample, parameters.seed)
+    some = reservoir(_usable(table, dim), parameters.sample, parameters.seed)
     rows, _ = kernels.matrix(some.select("vector").toArrow().column(0), dim)
     x = prepared(rows[np.isfinite(rows).all(1)], similarity)
     k = max(1, min(parameters.cells or round(math.sqrt(n)), -(-len(x) // 4)))  # a few sampled rows for each cell
@@ -200,11 +228,45 @@ def probe(codes: DataFrame, quantizer: Quantizer, queries: DataFrame, probes: in
     return top_k(rough, keep, Similarity.DOT_PRODUCT, by=("query_id",)).select("query_id", "id")
 
 
+def calibrate(table: DataFrame, codes: DataFrame, quantizer: Quantizer, parameters: AnnParameters) -> list[Setting]:
+    """The fewest cells and codes, for each k of ``neighbours``, that find ``recall`` of the exact neighbours.
+
+    Half of the loss is left to the cells, the rest to the cut by approximate score.
+    The driver holds ``tested`` queries and their neighbours.
+    """
+    spark, every = table.sparkSession, len(quantizer.cells)
+    chosen = reservoir(_usable(table, quantizer.dim), parameters.tested, parameters.seed + 1).select("id", "vector").collect()
+    queries = spark.createDataFrame([(r.id, [float(x) for x in r.vector]) for r in chosen], "id bigint, vector array<double>")
+    exact = search_batch(table, queries, max(parameters.neighbours) + 1, None, quantizer.similarity, quantizer.dim).where("query_id <> id")
+    near = exact.join(codes.select("id", "cell"), "id").select("query_id", "id", "cell", "rank").orderBy("query_id", "rank").collect()
+    order = quantizer.probes(quantizer.prepared(np.array([r.vector for r in chosen], float).reshape(-1, quantizer.dim)), every)
+    place = {r.id: np.argsort(o) for r, o in zip(chosen, order, strict=True)}
+    rows = codes.count()
+    out = []
+    for k in sorted(parameters.neighbours):
+        of_query: dict[int, list] = {}
+        for r in near:
+            of_query.setdefault(r.query_id, []).append(r)
+        true = [r for found in of_query.values() for r in found[:k]]
+        if not true:
+            out.append(Setting(k, every, k * parameters.oversample, 1.0))
+            continue
+        reached = np.sort([place[r.query_id][r.cell] for r in true])
+        probes = int(reached[math.ceil((1 + parameters.recall) / 2 * len(true)) - 1]) + 1
+        pairs = F.broadcast(spark.createDataFrame([(r.query_id, r.id) for r in true], "query_id bigint, id bigint"))
+        keep = k * parameters.oversample
+        while (recall := probe(codes, quantizer, queries, probes, keep).join(pairs, ["query_id", "id"]).count() / len(true)) < parameters.recall and keep < rows:
+            keep *= 2
+        out.append(Setting(k, probes, keep, round(recall, 4)))
+    return out
+
+
 class AnnIndex:
     """A built index."""
 
-    def __init__(self, quantizer: Quantizer, codes: DataFrame, parameters: AnnParameters, last_id: int, version: int = 0):
+    def __init__(self, quantizer: Quantizer, codes: DataFrame, parameters: AnnParameters, last_id: int, version: int = 0, settings: list[Setting] | None = None):
         self.quantizer, self.codes, self.parameters, self.last_id, self.version = quantizer, codes, parameters, last_id, version
+        self.settings = settings or []
 
     @classmethod
     def build(cls, table: DataFrame, dim: int, parameters: AnnParameters | None = None, similarity: Similarity = Similarity.COSINE, version: int = 0) -> AnnIndex:
@@ -212,7 +274,13 @@ class AnnIndex:
         last = table.agg(F.max("id")).first()[0]
         frozen = table.where(F.col("id") <= last) if last is not None else table
         quantizer = train(frozen, dim, parameters, similarity)
-        return cls(quantizer, encode(frozen, quantizer), parameters, last, version)
+        codes = encode(frozen, quantizer)
+        if parameters.probes is not None:
+            return cls(quantizer, codes, parameters, last, version)
+        path = shared_path(table.sparkSession, "codes")  # coded once for all measures
+        codes.write.parquet(path)
+        codes = table.sparkSession.read.schema(codes.schema).parquet(path)
+        return cls(quantizer, codes, parameters, last, version, calibrate(frozen, codes, quantizer, parameters))
 
     def save(self, path: str) -> None:
         spark, q = self.codes.sparkSession, self.quantizer
@@ -221,7 +289,7 @@ class AnnIndex:
         books = [(j, i, [float(x) for x in c]) for j, b in enumerate(q.books) for i, c in enumerate(b)]
         spark.createDataFrame(books, "subspace int, code int, centroid array<double>").coalesce(1).write.parquet(f"{path}/codebook")
         self.codes.repartition("cell").write.partitionBy("cell").parquet(f"{path}/codes")
-        manifest = {"similarity": q.similarity.value, "last_vector_id": self.last_id, "version": self.version, "parameters": asdict(self.parameters)}
+        manifest = {"similarity": q.similarity.value, "last_vector_id": self.last_id, "version": self.version, "parameters": asdict(self.parameters), "settings": [asdict(s) for s in self.settings]}
         spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
     @classmethod
@@ -231,10 +299,21 @@ class AnnIndex:
         rows = spark.read.parquet(f"{path}/codebook").orderBy("subspace", "code").collect()
         books = [np.array([r.centroid for r in rows if r.subspace == j]) for j in range(max(r.subspace for r in rows) + 1)]
         quantizer = Quantizer(cells, books, Similarity.parse(manifest["similarity"]))
-        return cls(quantizer, spark.read.parquet(f"{path}/codes"), AnnParameters(**manifest["parameters"]), manifest["last_vector_id"], manifest["version"])
+        return cls(quantizer, spark.read.parquet(f"{path}/codes"), AnnParameters(**manifest["parameters"]), manifest["last_vector_id"], manifest["version"], [Setting(**s) for s in manifest.get("settings", [])])
+
+    def reach(self, k: int) -> tuple[int, int]:
+        """Cells that a search for k rows probes and codes that it keeps."""
+        p, every = self.parameters, len(self.quantizer.cells)
+        if p.probes is not None:
+            return min(p.probes, every), k * p.oversample
+        for s in self.settings:
+            if k <= s.k:
+                return min(s.probes, every), s.keep
+        last = self.settings[-1]
+        return every, -(-k * last.keep // last.k)
 
     def search(self, table: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, threshold: float | None = DEFAULT_THRESHOLD, probes: int | None = None) -> DataFrame:
         """query_id, id, score, rank; scores are exact."""
-        p = self.parameters
-        pairs = probe(self.codes, self.quantizer, queries, min(probes or p.probes, len(self.quantizer.cells)), k * p.oversample)
+        own, keep = self.reach(k)
+        pairs = probe(self.codes, self.quantizer, queries, min(probes or own, len(self.quantizer.cells)), keep)
         return rerank(pairs, queries, table, k, threshold, self.quantizer.similarity)
