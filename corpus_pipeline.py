@@ -2,7 +2,7 @@
 
 Each stage reads all that its predecessor kept, as a written table, and applies
 one operator: toxic documents go, then documents of low quality; of each group
-of near copies the one with the smallest id stays; sources are mixed to their
+of near copies the one with the smallest id and text hash stays; sources are mixed to their
 weights; what is left is packed into sequences.
 """
 
@@ -27,11 +27,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay; of rows that repeat id and text, one stays."""
-    classes = jaccard_join.jaccard_components(docs)
-    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    return left.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    """Rows without an id stay; of rows that repeat id and text, one stays.
+
+    Rows go by id and text, as one id may stand for several texts of different groups, or of one.
+    """
+    classes = jaccard_join.jaccard_components(docs, keys=True)
+    others = classes.where("not first").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    left = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("binary"))).join(others, ["doc_id", "_text_key"], "left_anti")
+    return left.dropDuplicates(["doc_id", "_text_key"]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

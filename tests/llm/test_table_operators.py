@@ -404,6 +404,24 @@ def test_pipeline(spark):
     assert corpus_pipeline.pack_sequences(spark, now, SF).agg(F.sum("length")).first()[0] > 0
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """One row of each component stays, whichever texts share an id."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " more"
+    docs = [(0, a), (1, near(a)), (1, b), (2, near(b)), (5, c), (5, near(c)), (7, None), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert {(0, a), (1, b), (7, None), (7, "")} < set(left) and len(left) == 5
+    assert sum(d == 5 for d, _ in left) == 1
+    many = sorted({(i % 40, t) for i, t in near_copies(4, 30, 6)})
+    component = {many[n]: low for n, _, low in brute_components([(n, t) for n, (_, t) in enumerate(many)])}
+    df = spark.createDataFrame(many * 2, "doc_id bigint, text string").repartition(5)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(component[x] for x in left) == sorted(set(component.values()))
+    assert all(d == min(i for (i, t), low in component.items() if low == component[d, x]) for d, x in left)
+
+
 def test_pipeline_stages_odd(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     odd_labels(spark).write.parquet(str(tmp_path / "labels.parquet"))

@@ -485,8 +485,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = seen
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``.
+
+    As one id may stand for several texts, ids alone do not name rows, and components may
+    share their least id. ``keys`` adds text_key, the xxhash64 of the text's bytes, and first:
+    whether the row has the least (doc_id, text_key) of its component; a row without an id
+    or a shingle is the first of its own.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = written(_sets(docs), "jaccard-sets")
@@ -510,10 +516,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     near_hub = stars.where("linked and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     roots = components(_verified(dealt).unionByName(near_hub))
 
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = rooted.join(lowest, "root").select("fp", "component")
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "row" if keys else "least", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("row").alias("low") if keys else F.min("least").alias("component"))
+    by_fp = rooted.join(lowest, "root").select("fp", *(["low", F.col("low.doc_id").alias("component")] if keys else ["component"]))
     out = sets.where("doc_id is not null").join(by_fp, "fp", "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    rows = out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
-    return rows.unionByName(sets.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
+    more = [F.col("key").alias("text_key")] if keys else []
+    first = [((F.col("n") == 0) | (F.struct("doc_id", "key") == F.col("low"))).alias("first")] if keys else []
+    rows = out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), *more, *first)
+    first = [F.lit(True).alias("first")] if keys else []
+    return rows.unionByName(sets.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), *more, *first))
