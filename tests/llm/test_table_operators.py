@@ -80,6 +80,20 @@ def test_toxicity_odd(spark):
     check_scores(spark, toxicity.score_toxicity)
 
 
+def test_trainer_windows(spark):
+    """The trainer's budget is spread over all texts, and is a parameter."""
+    texts = [" ".join(f"d{d}w{i}" for i in range(50 + 400 * (d % 3))) for d in range(60)]
+    every = toxicity.trainer_windows(texts, None)
+    assert every == toxicity.trainer_windows(texts, 1 << 30) and sum(len(w.split()) for w in every) == sum(len(t.split()) for t in texts)
+    size = sum(map(len, every))
+    some = toxicity.trainer_windows(texts, size // 10)
+    assert 0.08 * size < sum(map(len, some)) <= 0.11 * size and set(some) < set(every)
+    long = {d for d in range(60) if d % 3}
+    assert long <= {int(w.split()[0][1:].split(b"w")[0]) for w in some}
+    scored = toxicity.score_toxicity(documents(spark), labels(spark, "0.001"), trainer_bytes=50_000)
+    assert scored.count() == documents(spark).count()
+
+
 def test_distance():
     rng = random.Random(0)
     usual = ["".join(rng.choices("aeioulnrst", k=6)) for _ in range(400)]

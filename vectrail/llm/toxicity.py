@@ -18,8 +18,10 @@ noise.
 
 Labels are learnt only from rows that are not held out, at most ``most_toxic``
 and ``most_ordinary`` of them in hash order, and at most ``most_words`` words of
-each, in runs spread over the whole text.  All else reads every row and whole
-texts.
+each, in runs spread over the whole text.  Of the sampled ordinary texts,
+zstandard's trainer sees at most about ``trainer_bytes``, as it holds some sixteen
+times as much: windows spread evenly over all of them.  All else reads every row
+and whole texts.
 
 Defined results: null and empty texts have no windows and get the calibrated
 score of none; null ids are scored and never learnt from; null labels and
@@ -47,8 +49,6 @@ from .common import hash_sample, held_out, keyed, measured, measured_schema, wri
 LEVEL = 12
 WINDOW = 8
 ORDINARY_BYTES, ALIKE_BYTES, TOXIC_BYTES = 100_000, 16_000, 4_096
-#: Text that zstandard's trainer sees; it holds some sixteen times as much.
-TRAINER_BYTES = 16 << 20
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 EDGES = b".,;:!?\"'()[]{}*&%$#|<>-_"
 #: Lengths of the beginnings of words that are tested.
@@ -105,7 +105,24 @@ def characteristic(toxic: list[tuple[bytes, ...]], ordinary: list[tuple[bytes, .
     return chosen
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def trainer_windows(texts: list[str], trainer_bytes: int | None) -> list[bytes]:
+    """Windows of the texts, at most about ``trainer_bytes`` in all (None: every window), spread evenly over all texts."""
+    share = 1.0
+    if trainer_bytes is not None:
+        share = min(1.0, trainer_bytes / max(1, sum(len(t.encode("utf-8", "surrogatepass")) for t in texts)))
+    out, taken, passed = [], 0, 0
+    for t in texts:
+        words = t.lower().encode("utf-8", "surrogatepass").split()
+        for i in range(0, len(words), WINDOW):
+            w = b" " + b" ".join(words[i : i + WINDOW]) + b" "
+            passed += len(w) - 1
+            if share == 1.0 or taken + len(w) - 1 <= share * passed:
+                out.append(w)
+                taken += len(w) - 1
+    return out
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str], trainer_bytes: int | None = 16 << 20) -> tuple[bytes, bytes]:
     """Raw contents of the ordinary and of the toxic dictionary."""
     known: dict[bytes, bytes] = {}
     distinct = lambda t: tuple(known.setdefault(w, w) for w in set(words_of(t)))
@@ -125,13 +142,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     pieces = {s[i : i + 4] for s in marks for i in range(len(s) - 3)}
     alike = sorted((n, w) for w, n in plain.items() if any(w[i : i + 4] in pieces for i in range(len(w) - 3)))
     try:
-        samples, size = [], 0
-        for words in (t.lower().encode("utf-8", "surrogatepass").split() for t in ordinary):
-            if size > TRAINER_BYTES:
-                break
-            samples += (b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW))
-            size += sum(map(len, words)) + len(words)
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
+        base = zstandard.train_dictionary(ORDINARY_BYTES, trainer_windows(ordinary, trainer_bytes)).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer: the words that save most
         base = b"  ".join(w for _, w in sorted((n * len(w), w) for w, n in plain.items()))[-ORDINARY_BYTES:]
     base += b" " + b"  ".join(w for _, w in alike)[-ALIKE_BYTES:] + b" "
@@ -203,7 +214,8 @@ def _sample(labels: DataFrame, label: str, value: int, most: int) -> DataFrame:
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, most_words: int = 20_000, cut: float = 0.5, carry: bool = False
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, most_words: int = 20_000, cut: float = 0.5, carry: bool = False,
+    trainer_bytes: int | None = 16 << 20,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
     spark = docs.sparkSession
@@ -221,7 +233,7 @@ def score_toxicity(
     toxic, ordinary = (sorted({r.text for r in rows if r.y == v}, key=lambda t: xxhash.xxh3_64_intdigest(t.encode())) for v in (1, 0))
     if not toxic or not ordinary:
         return keyed(docs, carry).drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    dictionaries = train_dictionaries(toxic, ordinary)
+    dictionaries = train_dictionaries(toxic, ordinary, trainer_bytes)
     del rows, toxic, ordinary
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
