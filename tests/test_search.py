@@ -134,6 +134,17 @@ def test_recall_of_defaults(spark, sf, tmp_path):
     assert again.settings == index.settings and [again.reach(k) for k in (5, 50, 500)] == [index.reach(k) for k in (5, 50, 500)]
 
 
+def test_lsh_recall_with_more_tables(spark):
+    """Eight bits in 256 tables reach the recall at the query's threshold that six tables lack, own rows excluded."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    pairs = lambda found: {(r.query_id, r.id) for r in found.collect() if r.query_id != r.id}
+    best = pairs(search.search_batch(rows, rows, 11, 0.2, COS, 64))
+    recall = lambda tables: len(best & pairs(lsh.LshIndex.build(rows, 8, tables, 64).search(rows, rows, 11, 0.2))) / len(best)
+    few, many = recall(6), recall(256)
+    print("LSH recall", few, many)
+    assert few < 0.5 and many >= 0.9
+
+
 def test_few_rows(spark):
     rows = table(spark, [[1.0, 0.0], [0.0, 1.0]])
     assert ann.AnnIndex.build(rows, 2).search(rows, rows, 5, None).count() >= 2
