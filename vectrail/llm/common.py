@@ -43,48 +43,71 @@ def tasks(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hash_sample(df: DataFrame, most: int, seed: int, by: str = "doc_id") -> DataFrame:
-    """At most ``most`` rows in order of a seeded hash.
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that no model may learn from: crc32 of the id as text is divisible by 5."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def row_hash() -> Column:
+    """Names a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """doc_id and h, the ``row_hash``, of rows that a model may learn from: not held out and with an id. A written table."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash().alias("h"))
+    return written(own.where(F.col("doc_id").isNotNull() & ~held_out()), "learnable")
 
-    Rows are thinned by the same hash first, so that the final limit sees little
-    more than ``most`` rows however many there are.
+
+def thinned(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most ``most`` of the distinct ``rows``, one for each value of the column h, in order of a seeded hash of h.
+
+    Rows are thinned by the same hash first, by the number of distinct values, so that the
+    limit sees little more than ``most`` rows however many there are and however often they repeat.
     """
-    n = df.count()
-    hashed = F.xxhash64(F.col(by), F.lit(seed))
-    if n > 2 * most:
-        few = df.where(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, (1.5 * most + 100) / n)))
-        df = few.withColumn("_h", F.pmod(hashed, F.lit(1 << 30))).orderBy("_h", by).drop("_h")
-        return df.limit(most)
-    return df.orderBy(F.pmod(hashed, F.lit(1 << 30)), by).limit(most)
+    order = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1 << 30))
+    distinct = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = (1.5 * most + 100) / max(1, distinct)
+    few = rows.where(order < int(share * (1 << 30))) if share < 0.5 else rows
+    return few.dropDuplicates(["h"]).orderBy(order, "h").limit(most)
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows that no model may learn from: crc32 of the id as text is divisible by 5."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+def sampled(keys: DataFrame, most: int, seed: int) -> list[tuple[int, int]]:
+    """At most ``most`` distinct rows of ``keys``, as (doc_id, h)."""
+    return [(r.doc_id, r.h) for r in thinned(keys.select("doc_id", "h"), most, seed).collect()]
+
 
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """text and the further columns of ``chosen``, which has doc_id and h: one row for each that ``docs`` has.
 
-def keyed(docs: DataFrame, carry: bool) -> DataFrame:
-    """doc_id, held_out and text or, to ``carry`` rows, the whole row as the struct ``doc``, whose names cannot clash."""
-    row = F.struct(*docs.columns).alias("doc") if carry else F.col("text").cast("string").alias("text")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), row)
+    ``chosen`` is broadcast, as its size is a parameter of the sample.
+    """
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    return own.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(chosen.columns)
 
 
-def measured_schema(slim: DataFrame, kind: str) -> str:
-    """What ``measured`` makes of the rows of ``keyed``."""
-    return ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text"), f"x {kind}"])
+def bound_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Arrow batches to Python hold about ``most_bytes``, unless the session says otherwise: texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(most_bytes))
 
 
-def measured(batches: Iterator[pa.RecordBatch], measure: Callable[[str | None], list[float]], width: int, kind: pa.DataType, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Rows of ``keyed`` with ``width`` measures of their text, as an array, in place of the text alone.
+def scored(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], cut: float, carry: bool = False, rows: int = 256) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; with ``carry`` also the row as the struct ``doc``, whose names cannot clash.
 
-    Batches are taken a few rows at a time, to hold few texts as Python strings.
+    Only the text goes to Python, and only a score comes back. ``make`` gives the function from
+    texts to scores; it gets a few rows at a time, to hold few texts as Python strings.
     """
-    for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            batch = whole.slice(at, rows)
-            names = batch.schema.names
-            texts = batch.column("text") if "text" in names else batch.column("doc").field("text")
-            x = np.array([measure(t) for t in texts.to_pylist()], np.float64).reshape(-1, width)
-            ends = np.arange(len(x) + 1, dtype=np.int32) * width
-            keep = [n for n in names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.ListArray.from_arrays(ends, pa.array(x.ravel()).cast(kind))], [*keep, "x"])
+    bound_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = make()
+        for texts in batches:
+            parts = [of(texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows)]
+            yield pa.array(np.concatenate([np.empty(0), *parts]))
+
+    row = [F.struct(*docs.columns).alias("doc")] if carry else []
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), score(F.col("text").cast("string")).alias("score"), *row)
+    return ids.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), *(["doc"] if carry else []))

@@ -481,7 +481,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         discard(now)
         now = after
         if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._vectrail_path = now._vectrail_path
+            return out
         mark = seen
 
 
@@ -525,4 +527,7 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     first = [((F.col("n") == 0) | (F.struct("doc_id", "key") == F.col("low"))).alias("first")] if keys else []
     rows = out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), *more, *first)
     first = [F.lit(True).alias("first")] if keys else []
-    return rows.unionByName(sets.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), *more, *first))
+    none = sets.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), *more, *first)
+    found = written(rows.unionByName(none), "jaccard-components")
+    discard(sets, groups, texts, stars, roots)
+    return found

@@ -12,28 +12,29 @@ the share of U above a threshold over the share of P above it, at the threshold
 where an upper bound of that ratio is least.
 
 A text becomes a few dozen statistics (characters, words, lines, repeats), read
-from the whole text in one pass over all documents; the statistics are written
-once, a bounded hash-ordered sample of rows (``most_positive``,
-``most_unlabelled``) fits the model on the driver, and every row is scored.
+from the whole text.  A bounded hash-ordered sample of distinct rows
+(``most_positive``, ``most_unlabelled``) fits the model on the driver, and one
+pass scores every row; nothing but small keys is written in between.
 
 Defined results: null and empty texts have a score like any text whose
-statistics are zero; null ids are scored and never learnt from; rows of
-``labels`` without a document, with a null label or repeated are harmless;
-without any trusted positive every score is the prior 0.5; extra columns are
-ignored; an empty table gives no rows.
+statistics are zero; null ids are scored and never learnt from; rows that repeat
+id and text are learnt from once; rows of ``labels`` without a document, with a
+null label or repeated are harmless; without any trusted positive every score is
+the prior 0.5; extra columns are ignored; very long texts are read whole, and
+ties of the sample's hash go by the row's own hash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, keyed, measured, measured_schema, written
+from .common import bound_batches, discard, learnable, rows_of, sampled, scored
 from .quality_rules import repeated_words
 
 NAMES = (
@@ -132,34 +133,42 @@ class PUClassifier:
         return _sigmoid(self.basis(x) @ self.weights)
 
 
-def text_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, x array<float> of every whole text; with ``carry``, also the row as the struct ``doc``."""
-
-    slim = keyed(docs, carry)
-    return slim.mapInArrow(lambda batches: measured(batches, statistics, len(NAMES), pa.float32()), measured_schema(slim, "array<float>"))
-
-
-def _rows(df: DataFrame, most: int, seed: int) -> np.ndarray:
-    got = hash_sample(df, most, seed).select("x").toPandas()["x"]
-    return np.stack(got.to_list()).astype(np.float64) if len(got) else np.empty((0, len(NAMES)))
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most_positive: int = 6_000, most_unlabelled: int = 12_000, prior: float | None = None) -> PUClassifier | None:
+    """The model, or None without two positives and two unlabelled rows."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    keys = learnable(docs)
+    trusted = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    positive = sampled(keys.join(trusted, "doc_id", "left_semi"), most_positive, 1)
+    unlabelled = sampled(keys, most_unlabelled, 2)
+    discard(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], np.float32).reshape(-1, len(NAMES))
+            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("kind"), lists], ["h", "kind", "x"])
+
+    rows = [(*r, kind) for kind, some in enumerate((unlabelled, positive)) for r in some]
+    if len(unlabelled) < 2 or len(positive) < 2:
+        return None
+    chosen = spark.createDataFrame(rows, "doc_id bigint, h bigint, kind int")  # at most most_positive + most_unlabelled rows
+    got = rows_of(docs, chosen).mapInArrow(run, "h bigint, kind int, x array<float>").toArrow().sort_by([("kind", "ascending"), ("h", "ascending")])
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)).astype(np.float64)
+    kind = got.column("kind").to_numpy()
+    p, u = x[kind == 1], x[kind == 0]
+    return PUClassifier(p, u, prior) if len(p) >= 2 and len(u) >= 2 else None
 
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, label: str = "quality", most_positive: int = 6_000, most_unlabelled: int = 12_000, cut: float = 0.3, prior: float | None = None, carry: bool = False
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
-    stats = written(text_statistics(docs, carry), "quality-statistics")
-    learn = stats.where(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "x")
-    trusted = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    p = _rows(learn.join(trusted, "doc_id", "left_semi"), most_positive, 1)
-    u = _rows(learn, most_unlabelled, 2)
-    model = PUClassifier(p, u, prior) if len(p) >= 2 and len(u) >= 2 else None
-
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        if model is None or not len(x):
-            return pd.Series(np.full(len(x), 0.5))
-        return pd.Series(model.score(np.stack(x.to_list()).astype(np.float64)))
-
-    scored = stats.withColumn("score", score("x")).drop("x")
-    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    model = fit_quality(docs, labels, label, most_positive, most_unlabelled, prior)
+
+    def make():
+        if model is None:
+            return lambda texts: np.full(len(texts), 0.5)
+        return lambda texts: model.score(np.array([statistics(t) for t in texts], np.float32).reshape(-1, len(NAMES)).astype(np.float64))
+
+    return scored(docs, make, cut, carry)

@@ -7,22 +7,25 @@ times its orthogonal part, with ``eta = (d - 1) t^2 / (1 - t^2)`` for the score
 threshold ``t``.  As the parallel part is a sum over subspaces, codes are found
 by coordinate descent, and centroids by weighted least squares.
 
-Codebooks are fitted on a bounded sample (``sample`` vectors in hash order);
+Codebooks are fitted on a bounded sample (``sample`` distinct rows in hash order);
 every vector is coded and stored in the index.  A search meets blocks of the index
 with chunks of queries: table scans over pairs of codes pick ``rerank`` candidates
-of a block, which are scored exactly, in double precision, on the original
-vectors; the best ``k`` of a block go on to a merge by query.  Equal vectors of a
-block are scanned once and stand for their ``k + 1`` smallest ids, as no more of
-them can be among a query's ``k`` nearest.
+of every ``UNIT`` rows of a block, which are scored exactly, in double precision, on
+the original vectors; the best ``k`` ids of a block go on to a merge by query.
+Equal vectors of a block are scanned once and stand for their ``k + 1`` smallest
+ids, as no more of them can be among a query's ``k`` nearest.
 
-Nothing is broadcast but codebooks (16 x d floats); queries travel in packed
-chunks, each to every group of blocks, and a task holds one block and one chunk.
+Nothing is broadcast but codebooks (16 x d floats).  A task holds one block, of at
+most ``BLOCK`` rows, while ``CHUNKS_PER_TASK`` chunks of queries stream past it: every
+query meets every row, so the work grows with queries times rows, but what is
+shuffled for it is a block and its chunks for minutes of scanning.
 
 Defined results: null, zero and non-finite vectors, null ids, and vectors whose
 length is not the most frequent one take no part; ties go to the smaller id; a
-query never finds a row with its own id; repeated (id, vector) rows count once;
-fewer than ``k`` candidates give fewer rows; an empty table gives none; extra
-columns are ignored.
+query never finds a row with its own id; repeated (id, vector) rows count once; an
+id that has several vectors, as a query or as a candidate, has the largest inner
+product of any of them and is found once; fewer than ``k`` candidates give fewer
+rows; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, written
+from .common import tasks, thinned, written
 
 CENTROIDS = 16
-BLOCK, CHUNK, CHUNKS_PER_TASK = 4096, 512, 64
+#: Rows that ``rerank`` candidates are for; rows of a block, at most; queries of a chunk, and those scanned at once; chunks that pass a block in a task.
+UNIT, BLOCK, CHUNK, SCAN, CHUNKS_PER_TASK = 4096, 65_536, 512, 64, 128
 
 
 class Codebook:
@@ -127,13 +131,13 @@ def usable(vector: str) -> Column:
 
 def build_index(vectors: DataFrame, sample: int = 8192, threshold: float = 0.2) -> tuple[DataFrame, Codebook | None, int]:
     """(id, vector, code) of every usable row as a written table, its codebook, and the number of blocks."""
-    rows = vectors.select("id", F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable("vector"))
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & usable("vector"))
     dims = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if dims is None:
         return rows.withColumn("code", F.lit(None).cast("binary")), None, 0
     rows = rows.where(F.size("vector") == dims.d)
-    some = hash_sample(rows, sample, 4, "id").select("vector").toPandas()["vector"]
-    book = Codebook(np.stack(some.to_list()).astype(np.float64), threshold=threshold)
+    some = thinned(rows.withColumn("h", F.xxhash64("id", "vector")), sample, 4).select("vector").toArrow().column(0).combine_chunks()
+    book = Codebook(some.flatten().to_numpy().reshape(len(some), -1).astype(np.float64), threshold=threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +147,7 @@ def build_index(vectors: DataFrame, sample: int = 8192, threshold: float = 0.2)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["id", "vector", "code"])
 
     index = written(rows.mapInArrow(run, "id bigint, vector array<float>, code binary"), "ann-index")
-    return index, book, max(1, -(-dims.n // BLOCK))
+    return index, book, max(-(-dims.n // BLOCK), min(tasks(vectors.sparkSession), -(-dims.n // UNIT)))
 
 
 def search(index: DataFrame, book: Codebook | None, blocks: int, queries: DataFrame, k: int = 20, rerank: int = 100) -> DataFrame:
@@ -157,20 +161,23 @@ def search(index: DataFrame, book: Codebook | None, blocks: int, queries: DataFr
     d = book.d
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held = [], []
+        ids, held = np.empty(0, np.int64), np.empty((0, d), np.float32)
+
+        def out(n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids[:n].tobytes()]), pa.array([held[:n].tobytes()]), pa.array([b""])], ["ids", "vectors", "codes"])
+
         for batch in batches:
             if batch.num_rows:
-                ids.append(batch.column(0).to_numpy())
-                held.append(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
-        if ids:
-            i, x = np.concatenate(ids), np.concatenate(held).astype(np.float32)
-            for a in range(0, len(i), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([i[a : a + CHUNK].tobytes()]), pa.array([x[a : a + CHUNK].tobytes()]), pa.array([b""])], ["ids", "vectors", "codes"])
-
-    n_queries = queries.count()
-    chunks = max(1, -(-n_queries // CHUNK))
-    groups = max(1, -(-chunks // CHUNKS_PER_TASK))
-    packed = queries.select("id", "vector").repartition(chunks, F.xxhash64("id")).mapInArrow(chunked, "ids binary, vectors binary, codes binary")
+                ids = np.concatenate([ids, batch.column(0).to_numpy()])
+                held = np.concatenate([held, batch.column(1).flatten().to_numpy().reshape(-1, d).astype(np.float32)])
+                while len(ids) >= CHUNK:
+                    yield out(CHUNK)
+                    ids, held = ids[CHUNK:], held[CHUNK:]
+        if len(ids):
+            yield out(len(ids))
+
+    groups = max(1, -(-queries.count() // (CHUNK * CHUNKS_PER_TASK)))
+    packed = queries.select("id", "vector").mapInArrow(chunked, "ids binary, vectors binary, codes binary")
     packed = packed.withColumn("grp", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rows_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +212,9 @@ def search(index: DataFrame, book: Codebook | None, blocks: int, queries: DataFr
                     continue
                 if block is None:
                     block = _Block(*(b"".join(p) for p in zip(*parts, strict=True)), d, k)
-                q = np.frombuffer(vectors, np.float32).reshape(-1, d)
-                yield block.nearest(book, np.frombuffer(ids, np.int64), q, k, rerank)
+                q, i = np.frombuffer(vectors, np.float32).reshape(-1, d), np.frombuffer(ids, np.int64)
+                for at in range(0, len(i), SCAN):
+                    yield block.nearest(book, i[at : at + SCAN], q[at : at + SCAN], k, rerank)
 
     # A fixed task for each (group, block): enough partitions that none holds many.
     found = both.repartition(max(blocks * groups, 1), "grp", "block").sortWithinPartitions("grp", "block", "kind").mapInArrow(scan, "query_id bigint, ids binary, scores binary")
@@ -215,12 +223,8 @@ def search(index: DataFrame, book: Codebook | None, blocks: int, queries: DataFr
         now, ids, scores = None, [], []
 
         def out() -> pa.RecordBatch:
-            i, s = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(scores), np.float64)
-            i, first = np.unique(i, return_index=True)
-            s = s[first]
-            best = np.lexsort((i, -s))[:k]
-            m = len(best)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(m, now)), pa.array(np.arange(1, m + 1, dtype=np.int32)), pa.array(i[best]), pa.array(s[best])], ["query_id", "rank", "vec_id", "score"])
+            i, s = best_ids(np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(scores), np.float64), k)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), now)), pa.array(np.arange(1, len(i) + 1, dtype=np.int32)), pa.array(i), pa.array(s)], ["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
             done = []
@@ -239,6 +243,14 @@ def search(index: DataFrame, book: Codebook | None, blocks: int, queries: DataFr
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, answer)
 
 
+def best_ids(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best ids, each with its best score, best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], scores[first]
+
+
 class _Block:
     """Distinct vectors of a block with their codes and smallest ids."""
 
@@ -259,8 +271,9 @@ class _Block:
 
     def nearest(self, book: Codebook, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> pa.RecordBatch:
         approximate = book.scan(queries, self.codes)
-        r = min(rerank + 1, approximate.shape[1])
-        chosen = np.argpartition(-approximate, r - 1, axis=1)[:, :r] if r < approximate.shape[1] else np.tile(np.arange(r), (len(queries), 1))
+        rows_in = approximate.shape[1]
+        r = min(rerank * -(-rows_in // UNIT) + 1, rows_in)
+        chosen = np.argpartition(-approximate, r - 1, axis=1)[:, :r] if r < rows_in else np.tile(np.arange(r), (len(queries), 1))
         q64 = queries.astype(np.float64)
         out_ids, out_scores = [], []
         for q in range(len(queries)):
@@ -272,8 +285,7 @@ class _Block:
             else:
                 ids = self.single[rows]
             other = ids != query_ids[q]
-            ids, s = ids[other], s[other]
-            best = np.lexsort((ids, -s))[:k]
-            out_ids.append(ids[best].tobytes())
-            out_scores.append(s[best].tobytes())
+            i, s = best_ids(ids[other], s[other], k)
+            out_ids.append(i.tobytes())
+            out_scores.append(s.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(out_ids, pa.binary()), pa.array(out_scores, pa.binary())], ["query_id", "ids", "scores"])

@@ -17,34 +17,43 @@ then compress alike with both dictionaries, and the distance is nearly free of
 noise.
 
 Labels are learnt only from rows that are not held out, at most ``most_toxic``
-and ``most_ordinary`` of them in hash order, and at most ``most_words`` words of
-each, in runs spread over the whole text.  Of the sampled ordinary texts,
-zstandard's trainer sees at most about ``trainer_bytes``, as it holds some sixteen
-times as much: windows spread evenly over all of them.  All else reads every row
-and whole texts.
+and ``most_ordinary`` of those that the documents have, in hash order.  The
+sampled texts hold at most about ``sample_bytes``: beyond that each is thinned to
+the same share of its words, in runs spread over the whole text.  Of the sampled
+ordinary texts, zstandard's trainer sees at most about ``trainer_bytes``, as it
+holds some sixteen times as much: windows spread evenly over all of them.  All
+else reads every row and whole texts.
+
+Calibration sees no document through dictionaries that it helped to make: the
+sample is halved by hash, each half is measured with dictionaries of the other,
+and the final dictionaries, of the whole sample, score the documents.  The three
+trainings are tasks of one job.
 
 Defined results: null and empty texts have no windows and get the calibrated
 score of none; null ids are scored and never learnt from; null labels and
 labels without a document are ignored, and an id labelled both ways counts for
-both; without both classes every score is 0; repeated rows are scored alike;
-extra columns are ignored; an empty table gives no rows.
+both; rows that repeat id and text are learnt from once; without both classes
+every score is 0, and if a half lacks one, the whole sample's dictionaries
+measure the other; repeated rows are scored alike; very long texts are scored
+whole; ties of the sample's hash go by the row's own hash; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, keyed, measured, measured_schema, written
+from .common import bound_batches, discard, learnable, rows_of, sampled, scored, tasks, written
 
 LEVEL = 12
 WINDOW = 8
@@ -197,56 +206,92 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._z(x) @ self.w, -30, 30)))
 
 
-def spread(text: str, most_words: int, runs: int = 20) -> str:
-    """At most ``most_words`` words of a text, in runs spread over all of it."""
+def spread(text: str, share: float, runs: int = 20) -> str:
+    """About ``share`` of a text's words, in runs spread over all of it."""
     words = text.split()
-    if len(words) <= most_words:
-        return text
-    each = most_words // runs
+    each = int(len(words) * share / runs)
+    if share >= 1 or not each:
+        return text if share >= 1 else " ".join(words[: math.ceil(len(words) * share)])
     starts = [r * (len(words) - each) // (runs - 1) for r in range(runs)]
     return " ".join(w for at in starts for w in words[at : at + each])
 
 
-def _sample(labels: DataFrame, label: str, value: int, most: int) -> DataFrame:
-    rows = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    rows = rows.where(~held_out()).distinct()
-    return hash_sample(rows, most, value).withColumn("y", F.lit(value))
+@dataclass
+class Toxicity:
+    """Contents of the two dictionaries, and the calibration of what they save."""
 
+    ordinary: bytes
+    toxic: bytes
+    calibration: Calibration
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, most_words: int = 20_000, cut: float = 0.5, carry: bool = False,
-    trainer_bytes: int | None = 16 << 20,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
+    def scorer(self) -> Callable[[list], np.ndarray]:
+        features = Distance(self.ordinary, self.toxic).features
+        return lambda texts: self.calibration.score(np.array([features(t) for t in texts], np.float64).reshape(-1, len(THRESHOLDS) + 3))
+
+
+#: The whole sample, and its halves; a training leaves out the half of its number.
+WHOLE, HALVES = 2, (0, 1)
+
+
+def _trained(texts: DataFrame, trainer_bytes: int | None) -> dict[int, tuple[bytes, bytes]]:
+    """Dictionaries of the whole sample and of each half's complement, where both classes are there; ``texts``: (text, y, half)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[set, set]] = {}
+        for batch in batches:
+            for text, y, fit in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "fit")), strict=True):
+                held.setdefault(fit, (set(), set()))[y].add(text)
+        for fit in sorted(held):
+            ordinary, toxic = (sorted(x, key=lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))) for x in held.pop(fit))
+            if toxic and ordinary:
+                a, b = train_dictionaries(toxic, ordinary, trainer_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([a]), pa.array([b])], ["fit", "ordinary", "toxic"])
+
+    fits = texts.select("text", "y", F.explode(F.array(F.lit(WHOLE), 1 - F.col("half"))).alias("fit"))
+    return {r.fit: (bytes(r.ordinary), bytes(r.toxic)) for r in fits.repartitionByRange(3, "fit").mapInArrow(run, "fit int, ordinary binary, toxic binary").collect()}
+
+
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, sample_bytes: int = 64 << 20, trainer_bytes: int | None = 16 << 20
+) -> Toxicity | None:
+    """The model, or None without documents of both classes."""
     spark = docs.sparkSession
-    ids = [tuple(r) for v, most in ((1, most_toxic), (0, most_ordinary)) for r in _sample(labels, label, v, most).collect()]
+    bound_batches(spark)
+    keys, chosen = learnable(docs), []
+    for y, most in ((1, most_toxic), (0, most_ordinary)):
+        marked = labels.where(F.col(label) == y).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+        chosen += [(*r, y) for r in sampled(keys.join(marked, "doc_id", "left_semi"), most, y)]
+    discard(keys)
+    if len({y for _, _, y in chosen}) < 2:
+        return None
     # At most most_toxic + most_ordinary rows.
-    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id bigint, y int"))
+    some = rows_of(docs, spark.createDataFrame(chosen, "doc_id bigint, h bigint, y int"))
+    some = written(some.select(F.coalesce("text", F.lit("")).alias("text"), "y", F.pmod(F.xxhash64("h"), F.lit(2)).cast("int").alias("half")), "toxicity-sample")
+    share = min(1.0, sample_bytes / max(1, some.agg(F.sum(F.octet_length("text"))).first()[0]))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [spread(t or "", most_words) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "y"])
+            texts = [spread(t, share) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", "y", "half"])
 
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = own.join(chosen, "doc_id").select("text", "y").mapInArrow(thin, "text string, y int").collect() if ids else []
-    toxic, ordinary = (sorted({r.text for r in rows if r.y == v}, key=lambda t: xxhash.xxh3_64_intdigest(t.encode())) for v in (1, 0))
-    if not toxic or not ordinary:
-        return keyed(docs, carry).drop("text").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    dictionaries = train_dictionaries(toxic, ordinary, trainer_bytes)
-    del rows, toxic, ordinary
+    dictionaries = _trained(some if share == 1 else some.mapInArrow(thin, "text string, y int, half int"), trainer_bytes)
+    whole = dictionaries[WHOLE]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return measured(batches, Distance(*dictionaries).features, len(THRESHOLDS) + 3, pa.float64())
+        by_half = {half: Distance(*dictionaries.get(half, whole)) for half in HALVES}
+        for batch in batches:
+            x = [by_half[half].features(t) for t, half in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
 
-    slim = keyed(docs, carry)
-    windows = written(slim.mapInArrow(measure, measured_schema(slim, "array<double>")), "toxicity-windows")
-    learn = windows.join(chosen, "doc_id").select("x", "y").collect()
-    model = Calibration(np.array([r.x for r in learn]), np.array([r.y for r in learn], np.float64))
+    learn = sorted((r.y, r.x) for r in some.repartition(tasks(spark)).mapInArrow(measure, "y int, x array<double>").collect())
+    discard(some)
+    return Toxicity(*whole, Calibration(np.array([x for _, x in learn]), np.array([y for y, _ in learn], np.float64)))
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(x.to_list())) if len(x) else [], dtype="float64")
 
-    scored = windows.withColumn("score", score("x")).drop("x")
-    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_toxic: int = 3_000, most_ordinary: int = 5_000, sample_bytes: int = 64 << 20, cut: float = 0.5, carry: bool = False,
+    trainer_bytes: int | None = 16 << 20,
+) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of ``docs``; ``carry`` adds the row itself as the struct ``doc``."""
+    model = fit_toxicity(docs, labels, label, most_toxic, most_ordinary, sample_bytes, trainer_bytes)
+    return scored(docs, model.scorer if model else lambda: lambda texts: np.zeros(len(texts)), cut, carry)
