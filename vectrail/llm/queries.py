@@ -86,7 +86,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 _MIX_SQL = f"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, doc_id::VARCHAR || '|' || md5(coalesce(text, '')) AS name FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS words, count(*) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 o AS (SELECT *, 3.0::DOUBLE * words / w AS ratio, sum(words) OVER () AS total, sum(w) OVER () AS weights,
   sum(3 * words) OVER (ORDER BY 3.0::DOUBLE * words / w, source) AS capped, sum(w) OVER (ORDER BY 3.0::DOUBLE * words / w, source) AS capped_w FROM s),
@@ -94,8 +94,8 @@ h AS (SELECT ratio, source, (total - (capped - 3 * words))::DOUBLE / (weights -
 f AS (SELECT per FROM h WHERE per <= ratio ORDER BY ratio, source LIMIT 1),
 p AS (SELECT source, words, greatest(1, n // {mixing.CELL}) AS cells, round(least(3.0::DOUBLE * words, per * w), 6) AS target FROM o, f),
 r AS (SELECT *, CASE WHEN words = 0 THEN 0.0::DOUBLE ELSE target / words END AS rate FROM p),
-c AS (SELECT d.doc_id, d.source, d.size, r.words, r.target, r.rate, floor({_seeded_sql("d.doc_id::VARCHAR", 8)} * cells)::BIGINT AS cell FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size, {_seeded_sql("doc_id::VARCHAR", 9)}, doc_id) AS nth, {_seeded_sql("coalesce(source, chr(0)) || '|' || cell::VARCHAR", 8)} AS start, rate - floor(rate) AS part FROM c)
+c AS (SELECT d.doc_id, d.name, d.source, d.size, r.words, r.target, r.rate, floor({_seeded_sql("d.name", 8)} * cells)::BIGINT AS cell FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY size, {_seeded_sql("name", 9)}, doc_id) AS nth, {_seeded_sql("coalesce(source, chr(0)) || '|' || cell::VARCHAR", 8)} AS start, rate - floor(rate) AS part FROM c)
 SELECT doc_id, size, words AS source_size, target, ((floor(rate) + floor(start + part * nth) - floor(start + part * (nth - 1))) * size)::BIGINT AS taken FROM k"""
 
 _JACCARD_SQL = """
