@@ -13,6 +13,8 @@ Size: UTF-8 bytes of the text plus 16.  Defined results:
 * null text: no bytes, the CRC of no bytes, in one group with empty texts;
 * null doc_id: sharded like any other row;
 * repeated rows: each gets its own slot; an empty table gives no rows;
+* ties of size go to the lower hash bundle and shard; very long texts are hashed and
+  measured whole;
 * extra columns are ignored.
 """
 
@@ -71,16 +73,22 @@ def shard_documents(docs: DataFrame, shards: int, bundles: int = BUNDLES, finene
     return with_slots(put.select("doc_id", "size", "text_crc32", "group_key", "shard"), shards, rows)
 
 
-def with_slots(put: DataFrame, shards: int, rows: int, block: int = SLOT_BLOCK) -> DataFrame:
+def with_slots(put: DataFrame, shards: int, rows: int, block: int = SLOT_BLOCK, run: int = 10_000) -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
-    No task sees a whole shard: rows are ranked within blocks of a shard, and a
-    block starts where the counts of the blocks before it end.
+    No task sees a whole shard, and none sees all copies of a row: equal rows are counted
+    before the shuffle and numbered as one, distinct rows are placed within blocks of a
+    shard, and a block starts where the counts of the blocks before it end.  Copies are
+    rows again at the end, in runs of ``run`` that are dealt anew.
     """
     blocks = max(4, -(-rows // (shards * block)))
-    put = put.withColumn("block", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(blocks)).cast("int"))
+    distinct = put.groupBy(*put.columns).agg(F.count("*").alias("m")).withColumn("block", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = put.groupBy("shard", "block").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "group_key"))
-    ranked = put.withColumn("rank", rank)
-    return ranked.join(starts.select("shard", "block", "start"), ["shard", "block"]).withColumn("slot", F.col("start") + F.col("rank") - 1).drop("block", "start", "rank")
+    starts = distinct.groupBy("shard", "block").agg(F.sum("m").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("shard", "block").orderBy("doc_id", "group_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = distinct.withColumn("before", F.coalesce(F.sum("m").over(inside), F.lit(0))).join(starts.select("shard", "block", "start"), ["shard", "block"])
+    first = placed.withColumn("first", F.col("start") + F.col("before")).drop("start", "before", "block")
+    long = first.where(F.col("m") > run).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / run))))
+    long = long.withColumn("first", F.col("first") + F.col("k") * run).withColumn("m", F.least(F.lit(run).cast("bigint"), F.col("m") - F.col("k") * run)).drop("k").repartition(F.col("first"))
+    runs = first.where(F.col("m") <= run).unionByName(long)
+    return runs.select(*put.columns, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("m") - 1)).alias("slot"))
