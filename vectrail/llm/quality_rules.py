@@ -31,22 +31,33 @@ from pyspark.sql import functions as F
 WINDOW = 8
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
-#: Lines that start or hold one of these are boilerplate.
+#: Phrases of boilerplate, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie",
     "licensed under", "subscribe to our", "sign up for", "click here", "powered by",
     "javascript", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutz", "nutzungsbedingungen", "impressum", "lizenziert unter",
+    "newsletter abonnieren", "hier klicken",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation",
+    "sous licence", "abonnez-vous", "cliquez ici",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "condiciones de uso",
+    "bajo licencia", "suscríbete", "haga clic aquí",
 )
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """``max_lost``: share of word characters that a document may lose; ``max_symbols``: of a line's characters."""
+    """``max_lost``: share of word characters that a document may lose; ``max_symbols``: of a line's characters.
+
+    A line is boilerplate when phrases are at least ``boilerplate_share`` of its characters, so
+    that a paragraph may mention one: the share is the same at every length.
+    """
 
     max_lost: float = 0.5
     max_symbols: float = 0.1
     shouting: float = 0.8
     short_line: int = 4
+    boilerplate_share: float = 0.05
     boilerplate: tuple[str, ...] = field(default=BOILERPLATE)
 
 
@@ -64,7 +75,7 @@ class LineJudge:
             return "symbols"
         if self.navigation.search(line):
             return "navigation"
-        if self.boilerplate.search(line) and n < 300:
+        if self.boilerplate.search(line) and sum(map(len, self.boilerplate.findall(line))) >= self.rules.boilerplate_share * n:
             return "boilerplate"
         upper = sum(map(str.isupper, line))
         if line.count("!!") >= 3 or (n >= 20 and upper > self.rules.shouting * sum(map(str.isalpha, line))):
