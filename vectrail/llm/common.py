@@ -101,13 +101,14 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], cu
     """
     bound_batches(docs.sparkSession)
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = make()
         for texts in batches:
             parts = [of(texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows)]
             yield pa.array(np.concatenate([np.empty(0), *parts]))
 
+    # Called nondeterministic so that a filter on the score is not moved below it, which would score every text twice.
+    score = F.arrow_udf(run, "double").asNondeterministic()
     row = [F.struct(*docs.columns).alias("doc")] if carry else []
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), score(F.col("text").cast("string")).alias("score"), *row)
     return ids.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), *(["doc"] if carry else []))
