@@ -329,6 +329,15 @@ def test_sharding_odd(spark):
     check_shards(rows(sharding.shard_documents(hot, 5)), 5)
 
 
+def test_slots_of_repeated_rows(spark):
+    """Equal rows are counted and numbered in runs: no task ranks them all."""
+    hot = spark.range(30_000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    more = spark.range(500).select(F.when(F.col("id") > 50, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 100).alias("text"))
+    got = rows(sharding.shard_documents(hot.unionByName(more).repartition(5), 4))
+    check_shards(got, 4)
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got)[1, zlib.crc32(b"same")] == 30_000 and len(got) == 30_500
+
+
 # 8: mixing
 
 
@@ -366,6 +375,27 @@ def test_mix(spark, cell):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2 * largest * math.sqrt(cells)
 
 
+def test_targets_in_rounds(spark):
+    """The same targets, found without collecting the sources."""
+    rng = random.Random(6)
+    docs = [(i, "w " * rng.choice([0, 1, 5, 60]), rng.choice([None, *"abcdefghijklmnopq", "é", "zz"])) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(3)
+    few, many = ({r["doc_id"]: r for r in rows(mixing.mix(df, most_sources=n))} for n in (100, 0))
+    assert few == many
+    with pytest.raises(ValueError):
+        mixing.mix(df, weights=lambda sources: dict.fromkeys(sources, 1), most_sources=0)
+
+
+def test_mix_without_ids(spark):
+    """Rows without an id, or all of one, are dealt by text; the source still comes near its target."""
+    docs = [(None if i % 3 else 5, "w " * (1 + i % 9) + str(i), "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(4)
+    mixed = rows(mixing.mix(df, cell=100))
+    for source in "ab":
+        own = [r for r in mixed if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.05 * own[0]["target"]
+
+
 def test_fractions_are_probabilities(spark):
     """Over seeds, a document is copied as often as its source's rate says."""
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 3 > 0]) for i in range(60)], "doc_id bigint, text string, source string")

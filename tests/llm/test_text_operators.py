@@ -242,3 +242,54 @@ def test_clean_documents_are_kept(spark):
     got = queries.op6_quality_rules(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("not base_failed")
     assert got.where("kept").count() >= 0.97 * got.count()
     assert got.agg(F.count("*")).first()[0] > 100
+
+
+def test_verdict_by_plain_rules(spark):
+    """``kept`` and the cleaned text, from rules written out line by line."""
+    rules = quality_rules.LineRules()
+
+    def fails(line):
+        n = len(line)
+        if sum(line.count(c) for c in "#*$%&|<>") > 0.1 * n:
+            return True
+        parts = re.split(r"\s[|»›>]\s", line)
+        if len(parts) > 3 or re.fullmatch(r"\s*(home|menu|login|search|next|previous|share)[\s|>»]*", line, re.I):
+            return True
+        low, held = line.lower(), 0
+        while low:
+            found = [(low.index(p), k, p) for k, p in enumerate(rules.boilerplate) if p in low]
+            if not found:
+                break
+            at, _, p = min(found)
+            held, low = held + len(p), low[at + len(p) :]
+        if held and held >= 0.05 * n:
+            return True
+        letters = [c for c in line if c.isalpha()]
+        if line.count("!!") >= 3 or (n >= 20 and sum(c.isupper() for c in line) > 0.8 * len(letters)):
+            return True
+        return not re.search(r"[.!?…。！？][\"'”’»)\]]*(\s|$)", line) and len(line.split()) < 4
+
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    extra = [(1000 + i, t) for i, t in enumerate(["Home | Menu | Search | Login", "Alle Rechte vorbehalten.", "x " * 300 + "cookie end.", "A cookie.", "SHOUTING IS NOT ALLOWED HERE AT ALL", "ok\nfine", "yes!! yes!! yes!!"])]
+    docs = [(r.doc_id, r.text) for r in documents(spark, "0.01").collect()] + extra
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in quality_rules.clean_lines(df).collect()}
+    rejected = 0
+    for doc_id, text in docs:
+        lines = (text or "").split("\n")
+        bad = [bool(words(x)) and fails(x) for x in lines]
+        chars = [sum(map(len, words(x))) for x in lines]
+        kept = not got[doc_id].base_failed and sum(c for c, b in zip(chars, bad, strict=True) if b) <= 0.5 * sum(chars)
+        assert got[doc_id].kept == kept, text[:200]
+        assert got[doc_id].clean_text == "\n".join(x for x, b in zip(lines, bad, strict=True) if not b)
+        rejected += not kept
+    assert 0 < rejected < len(docs)
+
+
+def test_boilerplate_at_every_length():
+    """The same mixture of words and phrases is judged alike, short or long."""
+    judge = quality_rules.LineJudge(quality_rules.LineRules())
+    line = "Read our privacy policy and the terms of use before you go on. "
+    assert all(judge.failed((line * n).strip()) == "boilerplate" for n in (1, 5, 50))
+    plain = "These are ordinary words of an ordinary sentence that nobody minds at all, even if it is a long one. "
+    assert all(judge.failed(("A cookie is a cake. " + plain * 3) * n) is None for n in (1, 5, 50))
