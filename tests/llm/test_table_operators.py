@@ -586,3 +586,33 @@ def test_pipeline_stages_odd(spark, tmp_path):
     left = corpus_pipeline.drop_near_copies(spark, odd_documents(spark), "")
     assert left.columns == odd_documents(spark).columns
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 1, 3, 4, 5, 7, 8, 9, 10, 11]
+
+
+def found_components(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+
+
+def test_hot_shingles(spark, monkeypatch):
+    """Shingles split over buckets, by exact or estimated counts, change nothing."""
+    docs = near_copies(5, 25, 30)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    expected = brute_components(docs)
+    used = []
+    make = jaccard_join._hot
+    monkeypatch.setattr(jaccard_join, "_hot", lambda *a: used.append(make(*a)) or used[-1])
+    for hot, sample in ((4, 1), (12, 1), (6, 3)):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        monkeypatch.setattr(jaccard_join, "SAMPLE", sample)
+        assert found_components(df) == expected
+        assert len(used[-1].tok) and used[-1].slots.max() > 1
+
+
+def test_fingerprints_that_clash(spark, monkeypatch):
+    """Sets that share half of their fingerprint are told apart by the other half."""
+    docs = near_copies(6, 30, 8)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    whole = jaccard_join.fingerprint
+    monkeypatch.setattr(jaccard_join, "fingerprint", lambda s: (whole(s)[0] % 17, whole(s)[1]))
+    sets, names = jaccard_join._names(jaccard_join._sets(df.select("doc_id", F.col("text").cast("binary").alias("text"))))
+    assert names
+    assert found_components(df) == brute_components(docs)

@@ -5,9 +5,10 @@ fewer words, its whole sequence is one shingle.  Two documents link when
 ``100 * |A & B| >= 75 * |A | B|``.  The answer is the connected components of
 the links.
 
-*Sets, not documents, are joined.*  Documents with equal sets share a 64-bit
+*Sets, not documents, are joined.*  Documents with equal sets share a 128-bit
 fingerprint and are one node from the first shuffle on, so that copies are never
-expanded.
+expanded.  A node is named by 64 bits of it; sets that share those and differ in
+the others are found, and all but one renamed, before anything is joined.
 
 *Prefixes.*  Two sets that link share at least ``need = ceil(0.75 * size)``
 shingles of either, so in any fixed order of shingles (their hashes) they share
@@ -27,6 +28,11 @@ beyond ``BLOCK`` nodes, members are first compared with the hub; those that link
 with it need not meet one another, the others meet all, block by block.  In a task, pairs with too few shared prefix shingles are dropped, the others are
 verified on whole sets, and a spanning forest of the links leaves it.
 
+*Hot shingles.*  A shingle that very many sets have (``HOT``, found in a sample of one
+text in ``SAMPLE``, which steers the work and not the result) is split by node over
+several buckets.  How many nodes have it is then the sample's estimate, and its hub, which
+all its buckets must agree on, is chosen in a step of its own.
+
 *Components* by alternating large-star and small-star steps, each written to
 the shared folder.
 
@@ -46,12 +52,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, tasks, written
+from .common import bound_batches, discard, tasks, written
 
 WORDS = 5
 PERCENT = 75
 #: Entries that a bucket's task sorts at once, about; nodes in a block of a large group.
 ENTRIES, BLOCK = 1_500_000, 1024
+#: Nodes with a shingle from which on it is split, and the share of texts that are looked at to find such shingles; they are at most MOST_HOT or so.
+HOT, SAMPLE, MOST_HOT = 400_000, 64, 100_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SPREAD = np.uint64(0xE7037ED1A0B428DB)
 
@@ -78,8 +86,15 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two halves of 64 bits."""
+    digest = xxhash.xxh3_128_intdigest(s.tobytes(), seed=len(s))
+    return (digest & (1 << 64) - 1) - (1 << 63), (digest >> 64) - (1 << 63)
+
+
+def renamed(fp: int, rest: int) -> int:
+    """Another name for a set whose name a different set has."""
+    return xxhash.xxh3_64_intdigest(f"{fp}|{rest}".encode()) - (1 << 63)
 
 
 def need(n):
@@ -128,23 +143,92 @@ def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
     return (((values.view(np.uint64) * _SPREAD) >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
 
 
+class Hot:
+    """Shingles that many nodes have, with the estimated number of those."""
+
+    def __init__(self, tok: np.ndarray, df: np.ndarray):
+        order = np.argsort(tok)
+        self.tok, self.df = tok[order], df[order]
+        self.slots = np.maximum(1, -(-self.df // max(1, HOT // 4))).astype(np.int64)
+
+    def find(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which shingles are hot, and the places of those."""
+        if not len(self.tok):
+            return np.zeros(len(tok), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.tok, tok), len(self.tok) - 1)
+        hot = self.tok[at] == tok
+        return hot, at[hot]
+
+    def bucket(self, tok: np.ndarray, fp: np.ndarray, buckets: int) -> np.ndarray:
+        """A shingle's bucket; a hot one has several, of which the node picks one."""
+        hot, at = self.find(tok)
+        key = tok
+        if hot.any():
+            slot = _mix(fp[hot].view(np.uint64).copy()) % self.slots[at].astype(np.uint64)
+            key = tok.copy()
+            key[hot] = _mix(tok[hot] + slot * _MULTIPLIERS[0])
+        return _bucket(key, buckets)
+
+
+def _hot(docs: DataFrame, total: int) -> Hot:
+    """From one text in ``SAMPLE``: shingles that far more nodes have than a task should sort."""
+    cut = max(HOT, total // MOST_HOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks, fps = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for text in batch.column(0).to_pylist():
+                s = prefix(shingles(text))
+                toks.append(s)
+                fps.append(np.full(len(s), fingerprint(s)[0], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(fps))], ["tok", "fp"])
+
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(SAMPLE)) == 0).where("doc_id is not null").select("text")
+    counts = some.mapInArrow(run, "tok bigint, fp bigint").groupBy("tok").agg((F.approx_count_distinct("fp") * SAMPLE).alias("df"))
+    rows = counts.where(F.col("df") >= cut).collect()  # about MOST_HOT at most, as all entries are shared out among them
+    return Hot(np.array([r.tok for r in rows], np.int64).view(np.uint64), np.array([r.df for r in rows], np.int64))
+
+
+def prefix(s: np.ndarray) -> np.ndarray:
+    """The longest prefix of a set that its node sends."""
+    n = len(s)
+    return s[: min(n, n - need(n) + int(longest(n)))] if n else s
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fp, key of every document; the key is a hash of its text."""
+    """doc_id, n, fp and rest (the fingerprint's halves), key of every document; the key is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, fp = [], []
+            n, fp, rest = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
+                a, b = fingerprint(s)
                 n.append(len(s))
-                fp.append(fingerprint(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), batch.column(2)], ["doc_id", "n", "fp", "key"])
+                fp.append(a)
+                rest.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(rest, pa.int64()), batch.column(2)], ["doc_id", "n", "fp", "rest", "key"])
 
-    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, key bigint")
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, rest bigint, key bigint")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """fp, text of the nodes, from one of their rows each; what repeats an id and a text goes as early as may be."""
+def _names(sets: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """``sets`` with one name, fp, for each different set, and the sets that got another name than theirs.
+
+    Those are rare: among 10^10 sets some three pairs share 64 bits.
+    """
+    twice = sets.where("n > 0").groupBy("fp").agg(F.min("rest").alias("least"), F.max("rest").alias("most")).where("least <> most").select("fp", "least")
+    others = sets.where("n > 0").join(twice, "fp").where("rest <> least").select("fp", "rest").distinct().collect()
+    if not others:
+        return sets, {}
+    names = {(r.fp, r.rest): renamed(r.fp, r.rest) for r in others}
+    fresh = sets.sparkSession.createDataFrame([(*k, v) for k, v in names.items()], "fp bigint, rest bigint, other bigint")
+    joined = sets.join(F.broadcast(fresh), ["fp", "rest"], "left").withColumn("fp", F.coalesce("other", "fp")).select(sets.columns)
+    return joined, names
+
+
+def _members(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """fp, s of the nodes: whole sets, hashed, from one of their rows each; what repeats an id and a text goes as early as may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -154,13 +238,15 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 fresh.append(fp not in seen)
                 if len(seen) < ENTRIES:
                     seen.add(fp)
-            yield batch.filter(pa.array(fresh, pa.bool_()))
+            left = batch.filter(pa.array(fresh, pa.bool_()))
+            sets = [shingles(t).tobytes() for t in left.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([left.column(0), pa.array(sets, pa.binary())], ["fp", "s"])
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(run, "fp bigint, text binary")
+    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(run, "fp bigint, s binary")
 
 
-def _prefix_entries(docs: DataFrame, buckets: int) -> DataFrame:
+def _prefix_entries(docs: DataFrame, buckets: int, hot: Hot, names: dict[tuple[int, int], int]) -> DataFrame:
     """Packed (shingle, node, level) of the longest prefixes; level: the least ``l`` whose prefix holds the shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,19 +256,23 @@ def _prefix_entries(docs: DataFrame, buckets: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             tok, fp, lvl = (np.concatenate(c) for c in zip(*held, strict=True))
-            return _packed(_bucket(tok, buckets), [tok, fp, lvl])
+            return _packed(hot.bucket(tok, fp, buckets), [tok, fp, lvl])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text)
                 n = len(s)
-                if not n or doc_id is None or (fp := fingerprint(s)) in seen:
+                if not n or doc_id is None:
+                    continue
+                both = fingerprint(s)
+                fp = names.get(both, both[0])
+                if fp in seen:
                     continue
                 if len(seen) < ENTRIES:
                     seen.add(fp)
-                base = n - need(n)
-                m = min(n, base + int(longest(n)))
-                held.append((s[:m], np.full(m, fp, np.int64), np.maximum(1, np.arange(1, m + 1) - base).astype(np.uint8)))
+                first = prefix(s)
+                m = len(first)
+                held.append((first, np.full(m, fp, np.int64), np.maximum(1, np.arange(1, m + 1) - (n - need(n))).astype(np.uint8)))
                 size += m
                 if size >= ENTRIES:
                     yield out()
@@ -193,7 +283,7 @@ def _prefix_entries(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _packed_schema(3))
 
 
-def _shared(entries: DataFrame, buckets: int, partitions: int) -> DataFrame:
+def _shared(entries: DataFrame, buckets: int, partitions: int, hot: Hot) -> DataFrame:
     """Packed by node: (node, shingle, level, nodes that have the shingle) where two or more have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +296,8 @@ def _shared(entries: DataFrame, buckets: int, partitions: int) -> DataFrame:
             new = np.r_[True, tok[1:] != tok[:-1]]
             at = np.cumsum(new) - 1
             df = np.bincount(at)[at]
+            everywhere, places = hot.find(tok)
+            df[everywhere] = hot.df[places]  # this task has a part of them
             keep = df > 1
             tok, fp, lvl, df = tok[keep], fp[keep], lvl[keep], df[keep].astype(np.uint32)
             for i in range(0, len(tok), ENTRIES):
@@ -244,7 +336,7 @@ def choose(levels: np.ndarray, df: np.ndarray, n: int) -> tuple[int, np.ndarray]
     return best[1], best[2]
 
 
-def _probes(shared: DataFrame, buckets: int, partitions: int) -> DataFrame:
+def _probes(shared: DataFrame, buckets: int, partitions: int, hot: Hot) -> DataFrame:
     """Packed by shingle: (shingle, node, size, l, level or 0 if it is probed, rank as a hub)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +348,7 @@ def _probes(shared: DataFrame, buckets: int, partitions: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return _packed(_bucket(columns[0], buckets), columns)
+            return _packed(hot.bucket(columns[0], columns[1], buckets), columns)
 
         for a, b in zip(starts, [*starts[1:], len(fp)], strict=False):  # a task may have no rows
             n, a = int(tok[a]), a + int(np.searchsorted(lvl[a:b], 1))  # behind the size, which several tasks may send
@@ -268,8 +360,8 @@ def _probes(shared: DataFrame, buckets: int, partitions: int) -> DataFrame:
             m = b - a
             role = lvl[a:b].copy()
             role[probe] = 0
-            prefix = min(n, n - need(n) + int(longest(n)))
-            rank = np.uint32(prefix - m) * np.uint32(1 << 12) // np.uint32(prefix)  # those that share all come first
+            sent = min(n, n - need(n) + int(longest(n)))
+            rank = np.uint32(sent - m) * np.uint32(1 << 12) // np.uint32(sent)  # those that share all come first
             held.append((tok[a:b], fp[a:b], np.full(m, n, np.uint32), np.full(m, l, np.uint8), role, np.full(m, rank, np.uint32)))
             size += m
             if size >= ENTRIES:
@@ -281,20 +373,74 @@ def _probes(shared: DataFrame, buckets: int, partitions: int) -> DataFrame:
     return shared.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(6))
 
 
-def _memberships(probes: DataFrame, buckets: int, partitions: int) -> DataFrame:
+PROBE = [np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32]
+
+
+def _parts(n: np.ndarray) -> np.ndarray:
+    """Two parts of a list for each node: sizes in a part differ by less than two factors of 4/3, and partners share the part of the smaller one."""
+    size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+    return np.concatenate([size_class, size_class - 1])
+
+
+def _hot_hubs(probes: DataFrame, hot: Hot) -> dict[tuple[int, int], tuple[int, int]]:
+    """(shingle, part) of hot shingles: the largest l that probes there, and the hub, the first node that does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tok, fp, n, l, role, rank = _unpacked(iter([batch.slice(at, 1)]), PROBE)  # noqa: E741
+                some = hot.find(tok)[0] & (role == 0)
+                if not some.any():
+                    continue
+                both = lambda x: np.concatenate([x[some], x[some]])  # noqa: B023, E731
+                tok, fp, l, rank, part = both(tok), both(fp), both(l), both(rank), _parts(n[some])  # noqa: E741
+                order = np.lexsort((fp, rank, part, tok))
+                tok, fp, l, rank, part = tok[order], fp[order], l[order], rank[order], part[order]  # noqa: E741
+                starts = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1])])
+                columns = [tok[starts].view(np.int64), part[starts], np.maximum.reduceat(l, starts).astype(np.int32), rank[starts].astype(np.int64), fp[starts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tok", "part", "reach", "rank", "fp"])
+
+    found = probes.mapInArrow(run, "tok bigint, part bigint, reach int, rank bigint, fp bigint")
+    rows = found.groupBy("tok", "part").agg(F.max("reach").alias("reach"), F.min(F.struct("rank", "fp")).alias("hub")).collect()  # some size classes of each hot shingle
+    return {(r.tok, r.part): (r.reach, r.hub.fp) for r in rows}
+
+
+def _memberships(probes: DataFrame, buckets: int, partitions: int, hot: Hot, hubs: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
     """Packed by node: (hub, node, l) of each list that holds a probed shingle; a hub is in its own group."""
+    keys = sorted(hubs)
+    known = np.rec.fromarrays([np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)], names="tok,part") if keys else None
+    reach_of, hub_of = (np.array([hubs[k][j] for k in keys], np.int64) for j in (0, 1))
+
+    def agreed(tok, fp, l, role, part):  # noqa: E741
+        """Hub, node and l of the entries of hot shingles, whose other entries are in other tasks."""
+        if known is None or not len(tok):
+            return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)]
+        mine = np.rec.fromarrays([tok.view(np.int64), part], names="tok,part")
+        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        stay = (known[at] == mine) & (role <= reach_of[at])
+        return [hub_of[at[stay]], fp[stay], l[stay]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, fp, n, l, role, rank = _unpacked(batches, [np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32])  # noqa: E741
-        # Sizes in a list's part differ by less than two factors of 4/3: partners share the part of the smaller one.
-        size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+        tok, fp, n, l, role, rank = _unpacked(batches, PROBE)  # noqa: E741
         both = lambda x: np.concatenate([x, x])
-        part = np.concatenate([size_class, size_class - 1])
+        part = _parts(n)
         tok, fp, l, role, rank = both(tok), both(fp), both(l), both(role), both(rank)  # noqa: E741
+        everywhere = hot.find(tok)[0]
+        shared_out = agreed(tok[everywhere], fp[everywhere], l[everywhere], role[everywhere], part[everywhere])
+        rows = [np.concatenate(x) for x in zip(shared_out, own(*(x[~everywhere] for x in (tok, fp, l, role, rank, part))), strict=True)]
+        rows = np.unique(np.rec.fromarrays(rows, names="hub,fp,l"))
+        hub, fp, l = (np.ascontiguousarray(rows[f]) for f in rows.dtype.names)  # noqa: E741
+        for i in range(0, len(rows), ENTRIES):
+            j = i + ENTRIES
+            yield _packed(_bucket(fp[i:j], buckets), [hub[i:j], fp[i:j], l[i:j]])
+
+    def own(tok, fp, l, role, rank, part):  # noqa: E741
+        """The same of lists that this task has whole."""
+        none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)]
         order = np.lexsort((fp, rank, part, tok))
         tok, fp, l, role, part = tok[order], fp[order], l[order], role[order], part[order]  # noqa: E741
         if not len(tok):
-            return
+            return none
         new = np.r_[True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1])]
         at = np.cumsum(new) - 1
         reach = np.zeros(at[-1] + 1, np.int64)  # the largest l that probes here
@@ -304,19 +450,14 @@ def _memberships(probes: DataFrame, buckets: int, partitions: int) -> DataFrame:
         probed = reach[at] > 0
         fp, l, at = fp[probed], l[probed], at[probed]  # noqa: E741
         if not len(fp):
-            return
+            return none
         count = np.bincount(at)
         several = count[at] > 1
         fp, l, at = fp[several], l[several], at[several]  # noqa: E741
         if not len(fp):
-            return
+            return none
         first = np.r_[True, at[1:] != at[:-1]]
-        hub = fp[first][np.cumsum(first) - 1]
-        rows = np.unique(np.rec.fromarrays([hub, fp, l]))
-        hub, fp, l = (np.ascontiguousarray(rows[f]) for f in rows.dtype.names)  # noqa: E741
-        for i in range(0, len(rows), ENTRIES):
-            j = i + ENTRIES
-            yield _packed(_bucket(fp[i:j], buckets), [hub[i:j], fp[i:j], l[i:j]])
+        return [fp[first][np.cumsum(first) - 1], fp, l]
 
     return probes.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(3))
 
@@ -399,7 +540,7 @@ def links(sets: list[np.ndarray], ls: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verified(members: DataFrame) -> DataFrame:
-    """Links as edges a, b from (hub, i, j, fp, l, text) rows, group by group."""
+    """Links as edges a, b from (hub, i, j, fp, l, s) rows, group by group."""
 
     def edges(group: dict[int, tuple[np.ndarray, int]]) -> pa.RecordBatch | None:
         fps = sorted(group)
@@ -412,36 +553,36 @@ def _verified(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, {}
         for batch in batches:
-            for hub, i, j, fp, l, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: E741
+            for hub, i, j, fp, l, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: E741
                 if (hub, i, j) != now:
                     if len(group) > 1 and (out := edges(group)):
                         yield out
                     now, group = (hub, i, j), {}
                 if fp not in group:
-                    group[fp] = (shingles(text), l)
+                    group[fp] = (np.frombuffer(s, np.uint64), l)
         if len(group) > 1 and (out := edges(group)):
             yield out
 
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def _stars(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _stars(members: DataFrame, whole: DataFrame) -> DataFrame:
     """hub, fp, l, linked: which members of large groups link with their hub."""
-    hubs = members.select("hub").distinct().join(texts, F.col("hub") == F.col("fp")).select("hub", F.col("text").alias("hub_text"))
+    hubs = members.select("hub").distinct().join(whole, F.col("hub") == F.col("fp")).select("hub", F.col("s").alias("hub_s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
             linked = []
-            for hub, fp, text, hub_text in zip(*(batch.column(c).to_pylist() for c in ("hub", "fp", "text", "hub_text")), strict=True):
+            for hub, fp, s, hub_s in zip(*(batch.column(c).to_pylist() for c in ("hub", "fp", "s", "hub_s")), strict=True):
                 if hub != now:
-                    now, own = hub, shingles(hub_text)
-                s = shingles(text)
+                    now, own = hub, np.frombuffer(hub_s, np.uint64)
+                s = np.frombuffer(s, np.uint64)
                 shared = len(np.intersect1d(own, s, assume_unique=True))
                 linked.append(100 * shared >= PERCENT * (len(own) + len(s) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("fp"), batch.column("l"), pa.array(linked, pa.bool_())], ["hub", "fp", "l", "linked"])
 
-    return members.join(texts, "fp").join(hubs, "hub").mapInArrow(run, "hub bigint, fp bigint, l int, linked boolean")
+    return members.join(whole, "fp").join(hubs, "hub").mapInArrow(run, "hub bigint, fp bigint, l int, linked boolean")
 
 
 def _blocks(stars: DataFrame) -> DataFrame:
@@ -497,23 +638,28 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sets = written(_sets(docs), "jaccard-sets")
+    bound_batches(spark)
+    sets, names = _names(written(_sets(docs), "jaccard-sets"))
     some = sets.where("n > 0 and doc_id is not null")
     nodes = some.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.max("n").alias("n")).withColumn("least", F.col("row.doc_id"))
     total = some.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / 32))).first()[0] or 0
     partitions = max(tasks(spark), -(-int(total) // ENTRIES))
     buckets = 4 * partitions
 
-    shared = _shared(_prefix_entries(docs, buckets), buckets, partitions)
+    hot = _hot(docs, int(total)) if total > HOT else Hot(np.empty(0, np.uint64), np.empty(0, np.int64))
+    shared = _shared(_prefix_entries(docs, buckets, hot, names), buckets, partitions, hot)
     shared = shared.unionByName(_sizes_packed(nodes, buckets))
-    memberships = _memberships(_probes(shared, buckets, partitions), buckets, partitions)
-    groups = written(_groups(memberships, partitions), "jaccard-groups")
+    probes, hubs = _probes(shared, buckets, partitions, hot), {}
+    if len(hot.tok):
+        probes = written(probes, "jaccard-probes")
+        hubs = _hot_hubs(probes, hot)
+    groups = written(_groups(_memberships(probes, buckets, partitions, hot, hubs), partitions), "jaccard-groups")
 
-    texts = written(_texts(docs, nodes.join(groups.select("fp").distinct(), "fp")), "jaccard-texts")
+    whole = written(_members(docs, nodes.join(groups.select("fp").distinct(), "fp")), "jaccard-members")
     sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("m")), "hub")
     small = sized.where(F.col("m") <= BLOCK).select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "l")
-    stars = written(_stars(sized.where(F.col("m") > BLOCK).select("hub", "fp", "l"), texts), "jaccard-stars")
-    members = small.unionByName(_blocks(stars)).join(texts, "fp").select("hub", "i", "j", "fp", "l", "text")
+    stars = written(_stars(sized.where(F.col("m") > BLOCK).select("hub", "fp", "l"), whole), "jaccard-stars")
+    members = small.unionByName(_blocks(stars)).join(whole, "fp").select("hub", "i", "j", "fp", "l", "s")
     dealt = members.repartition(partitions, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     near_hub = stars.where("linked and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     roots = components(_verified(dealt).unionByName(near_hub))
@@ -529,5 +675,5 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     first = [F.lit(True).alias("first")] if keys else []
     none = sets.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), *more, *first)
     found = written(rows.unionByName(none), "jaccard-components")
-    discard(sets, groups, texts, stars, roots)
+    discard(sets, probes, groups, whole, stars, roots)
     return found
