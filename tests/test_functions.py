@@ -129,3 +129,33 @@ def test_settings():
     assert normalize_request("library") == (11, 0.8)
     with pytest.raises(ValueError):
         normalize_request("admin")
+
+
+def test_wide_vectors(spark):
+    """Normalising and pooling take time linear in the dimension: near that of a norm or a sum."""
+    import time
+
+    rows = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda x: (x * (F.col("id") + 1)).cast("double")).alias("v")).persist()
+    rows.count()
+
+    def took(column):
+        best = math.inf
+        for _ in range(2):
+            began = time.perf_counter()
+            rows.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    base = took(vector.norm("v"))
+    assert took(vector.normalize("v")) < 5 * base + 0.5
+    tokens = F.array("v", "v", "v")
+    assert took(vector.mean_pool(tokens, F.array(*map(F.lit, (1, 0, 1))))) < 15 * base + 0.5
+    rows.unpersist()
+
+
+def test_rows_of_several_lengths(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0, 2.0, 3.0, 4.0]), (3, [5.0, 6.0])], "id int, v array<double>").coalesce(1)
+    got = {r.id: r.f for r in df.select("id", vector.fwht("v").alias("f")).collect()}
+    assert got == {0: [3, -1], 1: None, 2: [10, -2, -4, 0], 3: [11, -1]}
+    back = {r.id: r.b for r in df.select("id", codec.bytes_to_floats(codec.floats_to_bytes(F.col("v").cast("array<float>"), "big"), "big").alias("b")).collect()}
+    assert back == {0: [1, 2], 1: None, 2: [1, 2, 3, 4], 3: [5, 6]}

@@ -163,3 +163,33 @@ def test_scans(spark, random_rows):
     assert search.get(rows, 5).count() == 1 and search.value(rows, 5).columns == ["id", "vector"]
     keyed = rows.select("id", (F.col("id") % 7).cast("string").alias("rid"))
     assert search.ids_of(keyed, "3").first().id == 297 and search.ids_of(keyed, "x").count() == 0
+
+
+def test_euclidean_is_exact(spark):
+    """Large vectors that lie close together: distances by differences, own rows at 0, ties and near ties in order."""
+    rng = np.random.default_rng(3)
+    x = (1e4 + rng.standard_normal((200, 32)) * 1e-2).astype(np.float32)
+    rows = table(spark, [r.tolist() for r in x])
+    wide = x.astype(float)
+    for most in (1 << 20, 1):
+        got = search.search_batch(rows, rows, 6, None, L2, 32, most).orderBy("query_id", "rank").collect()
+        for q in range(200):
+            s = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+            best = np.lexsort((np.arange(200), s))[:6]
+            own = [r for r in got if r.query_id == q]
+            assert [r.id for r in own] == best.tolist() and [r.score for r in own] == s[best].tolist() and own[0].score == 0
+    assert search.search_batch(rows, rows, 6, 0.0, L2, 32).count() == len({tuple(r) for r in x.tolist()})
+
+
+def test_timeout(spark):
+    import time
+
+    from pyspark.sql.types import LongType
+
+    rows = spark.range(3)
+    assert search.within(rows, 60_000).count() == 3
+    slow = rows.repartition(2).select(F.udf(lambda i: time.sleep(20) or i, LongType())("id").alias("id"))
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        search.within(slow, 300)
+    assert time.time() - began < 15

@@ -127,3 +127,38 @@ def test_suppliers(spark):
     assert suppliers.empty(spark).count() == 0
     assert suppliers.single(spark, [1, 2], "r").first().vector == [1, 2]
     assert [d.count() for d in suppliers.from_iterator(spark, (([i], "r", None) for i in range(5)), 2)] == [2, 2, 1]
+
+
+def test_metadata_changes_and_compaction(spark, tmp_path):
+    c = Database(spark, str(tmp_path)).create({"type": "FLAT", "name": "x"})
+    rows = lambda a, b: spark.createDataFrame([([float(i), 1.0], f"r{i}", f'{{"n":{i}}}') for i in range(a, b)], IN)
+    c.add(rows(0, 6), tag="a")
+    c.add(rows(6, 9), tag="b")
+    ids = {r.rid: r.id for r in c.rows().collect()}
+    change = lambda rid, id_, extra: spark.createDataFrame([(id_, rid, extra)], "id bigint, rid string, extra string")
+    for wrong in (change("r1", ids["r2"], "{}"), change("none", ids["r1"], "{}")):
+        with pytest.raises(ValueError):
+            c.update_metadata(wrong)
+    assert c.update_metadata(change("r1", ids["r1"], '{"n":"new"}')) == 1
+    assert c.update_metadata(change("r1", ids["r1"], '{"n":"newer"}')) == 1
+    c.delete_metadata(spark.createDataFrame([(ids["r2"],), (999,)], "id bigint"))
+
+    def check():
+        meta = {r.id: r.meta for r in c.metadata().collect()}
+        assert meta[ids["r1"]] == '{"rid":"r1","extra":{"n":"newer"}}' and ids["r2"] not in meta and len(meta) == 8
+        assert c.count() == 9  # vectors stay
+        assert {r.id: r.meta for r in c.search([2.0, 1.0], 9, None).collect()}[ids["r2"]] == "{}"
+
+    check()
+    c.compact()
+    check()
+    c.add(rows(6, 9), tag="b")  # a stream repeats its last batch after the compaction
+    check()
+    assert c.add(rows(9, 11), tag="c") == (2, 0)
+    again = Database(spark, str(tmp_path)).get("x")
+    assert sorted(r.id for r in again.rows().collect()) == list(range(11))
+    c.compact()
+    assert sorted(r.id for r in again.rows().collect()) == list(range(11))
+    with pytest.raises(TimeoutError):
+        c.search([1.0, 1.0], 3, None, timeout_millis=0.01)
+    assert c.search([1.0, 1.0], 3, None, timeout_millis=120_000).count() == 3

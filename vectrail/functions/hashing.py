@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +29,10 @@ class XXHash:
 def hashed(column, function: HashFunction) -> Column:
     """Of a string's UTF-8 or of a binary column."""
 
-    @F.pandas_udf("bigint")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else function.hash(bytes(x))).astype("Int64")
+    def run(s: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else function.hash(x) for x in s.to_pylist()], pa.int64())
 
-    return run((F.col(column) if isinstance(column, str) else column).cast("binary"))
+    return F.arrow_udf(run, "bigint")((F.col(column) if isinstance(column, str) else column).cast("binary"))
 
 
 def xxh64_seed0(column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ..model import Similarity
 
@@ -24,6 +27,34 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (flat[offsets[at][:, None] + np.arange(dim)] if len(at) else np.empty((0, dim))), at
 
 
+def mapped(column: pa.Array, function: Callable[[np.ndarray], np.ndarray], kind: pa.DataType) -> pa.Array:
+    """``function`` of the rows of a list column, a matrix at a time: rows of one length go together.
+
+    Null rows stay null; null elements are NaN.
+    """
+    offsets, valid = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths, out = np.diff(offsets), [None] * len(column)
+    for n in np.unique(lengths[valid]):
+        at = np.flatnonzero(valid & (lengths == n))
+        made = function(flat[offsets[at][:, None] + np.arange(n)])
+        if len(at) == len(column):
+            return lists(made, kind)
+        for i, row in zip(at, made, strict=True):
+            out[i] = row
+    return pa.array(out, pa.list_(kind))
+
+
+def row_function(function: Callable[[np.ndarray], np.ndarray], returns: str):
+    """A column function of vectors from one of matrices, by Arrow batches."""
+    kind = {"array<double>": pa.float64(), "array<bigint>": pa.int64()}[returns]
+
+    def run(column: pa.Array) -> pa.Array:
+        return mapped(column, function, kind)
+
+    return F.arrow_udf(run, returns)
+
+
 def scores(queries: np.ndarray, rows: np.ndarray, similarity: Similarity) -> np.ndarray:
     """(queries, rows) in double precision; the cosine of a zero vector is NaN."""
     with np.errstate(all="ignore"):

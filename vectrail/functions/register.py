@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import PandasUDFType
@@ -19,7 +20,7 @@ EXPRESSIONS = {
     "vec_dot": f"{_TWO} RETURN CASE WHEN size(a) = size(b) THEN {_DOT} END",
     "vec_cosine": f"{_TWO} RETURN CASE WHEN size(a) = size(b) THEN try_divide({_DOT}, {_NORM.format('a')} * {_NORM.format('b')}) END",
     "vec_l2": f"{_TWO} RETURN CASE WHEN size(a) = size(b) THEN sqrt({_SUM.format('zip_with(a, b, (x, y) -> (x - y) * (x - y))')}) END",
-    "vec_normalize": f"(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(a, x -> coalesce(try_divide(x, {_NORM.format('a')}), x))",
+    "vec_normalize": f"(a ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(array(named_struct('v', a, 'n', {_NORM.format('a')})), z -> transform(z.v, x -> coalesce(try_divide(x, z.n), x)))[0]",
     "vec_hamming": "(a BIGINT, b BIGINT) RETURNS INT RETURN bit_count(a ^ b)",
 }
 
@@ -33,12 +34,11 @@ def register(spark: SparkSession, planes: np.ndarray | None = None) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
     spark.udf.register("vec_fwht", vector.fwht_function())
 
-    @F.pandas_udf("bigint")
-    def xxh64(s: pd.Series) -> pd.Series:
+    def xxh64(s: pa.Array) -> pa.Array:
         own = hashing.XXHash(0)
-        return s.map(lambda x: None if x is None else own.hash(x)).astype("Int64")
+        return pa.array([None if x is None else own.hash(x) for x in s.to_pylist()], pa.int64())
 
-    spark.udf.register("xxh64_seed0", xxh64)
+    spark.udf.register("xxh64_seed0", F.arrow_udf(xxh64, "bigint"))
 
     def pooled(v: pd.Series) -> list[float]:
         rows = [np.asarray(x, np.float64) for x in v if x is not None]
@@ -52,8 +52,4 @@ def register(spark: SparkSession, planes: np.ndarray | None = None) -> None:
 def lsh_function(planes: np.ndarray):
     """Signature words of a vector; null for null."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else kernels.sign_words(np.asarray(x, np.float64)[None] @ planes.T)[0])
-
-    return run
+    return kernels.row_function(lambda rows: kernels.sign_words(rows @ planes.T), "array<bigint>")

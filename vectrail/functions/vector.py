@@ -78,10 +78,16 @@ def order(value, similarity: Similarity) -> Column:
     return value.asc() if similarity is Similarity.EUCLIDEAN else value.desc()
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once a row, not once for each element that a lambda visits."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize(a) -> Column:
-    """Unit length; a zero vector stays as it is."""
+    """Unit length; a zero vector stays as it is. The norm is taken once."""
     a = _col(a)
-    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(a)), x.cast("double")))
+    pair = F.struct(a.alias("v"), norm(a).alias("n"))
+    return _once(pair, lambda z: F.transform(z["v"], lambda x: F.coalesce(F.try_divide(x.cast("double"), z["n"]), x.cast("double"))))
 
 
 def doubles(a) -> Column:
@@ -107,8 +113,9 @@ def mean_pool(tokens, mask) -> Column:
     active = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda z: z["m"] != 0), lambda z: z["t"])
     width = F.size(F.element_at(tokens, 1))
     zero = F.array_repeat(F.lit(0.0), width)
-    total = F.aggregate(active, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
-    return F.transform(total, lambda x: F.coalesce(F.try_divide(x, F.size(active).cast("double")), F.lit(0.0)))
+    total = lambda rows: F.aggregate(rows, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+    sums = _once(active, lambda rows: F.struct(total(rows).alias("t"), F.size(rows).cast("double").alias("n")))
+    return _once(sums, lambda z: F.transform(z["t"], lambda x: F.coalesce(F.try_divide(x, z["n"]), F.lit(0.0))))
 
 
 def mean_vector(df: DataFrame, by: list[str], vector: str = "vector", alias: str = "vector") -> DataFrame:
@@ -122,11 +129,7 @@ def mean_vector(df: DataFrame, by: list[str], vector: str = "vector", alias: str
 def fwht_function():
     """Walsh-Hadamard transform; raises unless the length is a power of two above 1."""
 
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else kernels.fwht(np.asarray(x, np.float64)))
-
-    return run
+    return kernels.row_function(kernels.fwht, "array<double>")
 
 
 def fwht(a) -> Column:
@@ -144,11 +147,7 @@ def project(a, matrix: np.ndarray) -> Column:
     if not k < d:
         raise ValueError("a projection makes vectors shorter")
 
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else matrix @ np.asarray(x, np.float64))
-
-    return run(doubles(a))
+    return kernels.row_function(lambda rows: rows @ matrix.T, "array<double>")(doubles(a))
 
 
 def random_projection(a, dim: int, to: int, seed: int) -> Column:
@@ -158,11 +157,7 @@ def random_projection(a, dim: int, to: int, seed: int) -> Column:
 def compress(a, codec) -> Column:
     """Any Python function from a vector to a shorter one."""
 
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(codec(np.asarray(x, np.float64)), np.float64))
-
-    return run(doubles(a))
+    return kernels.row_function(lambda rows: np.stack([np.asarray(codec(x), np.float64) for x in rows]), "array<double>")(doubles(a))
 
 
 def random_vectors(spark, count: int, dim: int, seed: int, kind: str = "gaussian", unit: bool = False) -> DataFrame:

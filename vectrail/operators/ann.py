@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..model import DEFAULT_THRESHOLD, DEFAULT_TOP_K, Similarity
 from ..sources.scratch import shared_path
-from .cluster import centroids, reservoir
+from .cluster import reservoir
 from .lsh import rerank
 from .search import search_batch, top_k
 
@@ -41,7 +41,10 @@ SHARE = 65_536
 
 @dataclass
 class AnnParameters:
-    """``cells``: sqrt(n) if None. ``sample`` bounds what the model is fitted on.
+    """``cells``: sqrt(n) if None, and at most a quarter of the sample, so that each has a few sampled rows.
+
+    ``sample`` bounds what the model is fitted on; larger tables want a larger one (sqrt(n) cells take
+    ``4 * sqrt(n)`` sampled rows: the default serves 156 million rows, beyond which cells hold more rows).
 
     ``probes``: measured if None, and then ``oversample`` is the least; else both are taken as given.
     The measure takes ``tested`` rows as queries, for each k of ``neighbours``; a search for more than
@@ -71,19 +74,20 @@ class Setting:
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """Lloyd's rounds from sampled rows; the memory is that of one chunk of distances."""
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         own = _nearest(x, c)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
         n = np.bincount(own, minlength=k)
+        sums = np.stack([np.bincount(own, x[:, j], k) for j in range(x.shape[1])], 1)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
     return c
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+    square, chunk = (c**2).sum(1), max(1, 4_000_000 // len(c))
+    return np.concatenate([np.empty(0, np.int64), *((square - 2 * x[i : i + chunk] @ c.T).argmin(1) for i in range(0, len(x), chunk))])
 
 
 class Quantizer:
@@ -143,12 +147,7 @@ def train(table: DataFrame, dim: int, parameters: AnnParameters, similarity: Sim
     rows, _ = kernels.matrix(some.select("vector").toArrow().column(0), dim)
     x = prepared(rows[np.isfinite(rows).all(1)], similarity)
     k = max(1, min(parameters.cells or round(math.sqrt(n)), -(-len(x) // 4)))  # a few sampled rows for each cell
-    if len(x) <= 20_000:
-        cells = _kmeans(x, k, np.random.default_rng(parameters.seed))
-    else:
-        fitted = table.sparkSession.createDataFrame([(v.tolist(),) for v in x], "vector array<double>")
-        cells = centroids(fitted, k, 20, parameters.seed)
-    return Quantizer.fit(x, cells, parameters, similarity)
+    return Quantizer.fit(x, _kmeans(x, k, np.random.default_rng(parameters.seed)), parameters, similarity)
 
 
 def encode(table: DataFrame, quantizer: Quantizer) -> DataFrame:
@@ -275,11 +274,11 @@ class AnnIndex:
         frozen = table.where(F.col("id") <= last) if last is not None else table
         quantizer = train(frozen, dim, parameters, similarity)
         codes = encode(frozen, quantizer)
-        if parameters.probes is not None:
-            return cls(quantizer, codes, parameters, last, version)
-        path = shared_path(table.sparkSession, "codes")  # coded once for all measures
+        path = shared_path(table.sparkSession, "codes")  # coded once, for shares, searches and measures
         codes.write.parquet(path)
         codes = table.sparkSession.read.schema(codes.schema).parquet(path)
+        if parameters.probes is not None:
+            return cls(quantizer, codes, parameters, last, version)
         return cls(quantizer, codes, parameters, last, version, calibrate(frozen, codes, quantizer, parameters))
 
     def save(self, path: str) -> None:

@@ -12,6 +12,8 @@ hashed slots of the table, so that neither side is ever held whole.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,6 +107,8 @@ FOUND = "query_id bigint, id bigint, score double"
 
 
 def _best_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None, similarity: Similarity) -> pa.RecordBatch:
+    if similarity is Similarity.EUCLIDEAN:
+        return _nearest_rows(ids, rows, query_ids, queries, k, threshold)
     s = kernels.scores(queries, rows, similarity)
     good = kernels.passing(s, similarity, threshold)
     q, i, v = [], [], []
@@ -118,6 +122,31 @@ def _best_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *q])), pa.array(np.concatenate([none, *i])), pa.array(np.concatenate([none.astype(float), *v]))], ["query_id", "id", "score"])
 
 
+def _nearest_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None) -> pa.RecordBatch:
+    """Distances by direct differences, of the rows that the expanded square cannot rule out, rounding taken into account."""
+    with np.errstate(all="ignore"):
+        own, other = (rows**2).sum(1), (queries**2).sum(1)
+        square = other[:, None] + own - 2 * queries @ rows.T
+        slack = 4 * np.finfo(float).eps * (rows.shape[1] + 4) * (other[:, None] + own)
+    none = np.empty(0, np.int64)
+    q, i, v = [none], [none], [np.empty(0)]
+    for n in range(len(queries)):
+        at = np.flatnonzero(~np.isnan(square[n]))
+        low, high = square[n, at] - slack[n, at], square[n, at] + slack[n, at]
+        most = np.inf if threshold is None else threshold * threshold * (1 + 1e-12) if threshold >= 0 else -np.inf
+        if len(at) > k:
+            most = min(most, np.partition(high, k - 1)[k - 1])
+        at = at[low <= most]
+        s = np.sqrt(((rows[at] - queries[n]) ** 2).sum(1))
+        keep = kernels.passing(s, Similarity.EUCLIDEAN, threshold)
+        at, s = at[keep], s[keep]
+        best = kernels.best(s, ids[at], k, Similarity.EUCLIDEAN)
+        q.append(np.full(len(best), query_ids[n]))
+        i.append(ids[at[best]])
+        v.append(s[best])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, i, v)], ["query_id", "id", "score"])
+
+
 def _against(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None, similarity: Similarity) -> DataFrame:
     dim = queries.shape[1]
 
@@ -163,6 +192,34 @@ def _slotted(table: DataFrame, queries: DataFrame, n: int, k: int, threshold: fl
     return data.unionByName(chunks).repartition(slots, "slot").sortWithinPartitions("slot", "kind").mapInArrow(run, FOUND)
 
 
+def within(found: DataFrame, millis: float) -> DataFrame:
+    """``found``, evaluated now; a TimeoutError, and its jobs cancelled, if that takes longer. For results of a few rows."""
+    spark, group, late = found.sparkSession, f"within-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    watch, names = threading.Timer(millis / 1000, stop), ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+    before = [context.getLocalProperty(n) for n in names]
+    context.setJobGroup(group, f"a query of at most {millis} ms", True)
+    watch.start()
+    try:
+        rows = found.collect()
+    except Exception:
+        if late.is_set():
+            raise TimeoutError(f"the query took more than {millis} ms") from None
+        raise
+    finally:
+        watch.cancel()
+        for n, value_ in zip(names, before, strict=True):
+            context.setLocalProperty(n, value_)
+    if late.is_set():
+        raise TimeoutError(f"the query took more than {millis} ms")
+    return spark.createDataFrame(rows, found.schema)
+
+
 def with_metadata(found: DataFrame, meta: DataFrame, how: str = "left") -> DataFrame:
     """Metadata after the top-k. ``left``: missing metadata is ``{}``; ``inner``: such rows go."""
     if how not in ("left", "inner"):

@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from .files import Files
 
 MAGIC, VERSION, PADDING = bytes.fromhex("CEE507C9"), 1, 6
 HEADER = f">4shi{PADDING}x"
@@ -117,25 +117,46 @@ def read_ivecs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_segments(df: DataFrame, path: str, dim: int, headered: bool = False, rows_per_segment: int = 250_000) -> int:
-    """Export (id, vector) as numbered segment files of a folder that the driver reaches, in order of id."""
-    folder = Path(path)
-    folder.mkdir(parents=True, exist_ok=True)
-    ids, rows, segment = [], [], 0
-
-    def flush() -> None:
-        nonlocal ids, rows, segment
-        body = to_frames(np.array(ids), np.array(rows, np.float32).reshape(len(ids), dim))
-        (folder / f"segment.{segment}.vec").write_bytes(header(dim) * headered + body)
-        ids, rows, segment = [], [], segment + 1
-
-    for r in df.select("id", "vector").orderBy("id").toLocalIterator():
-        ids.append(r.id)
-        rows.append(r.vector)
-        if len(ids) >= rows_per_segment:
-            flush()
-    if ids or not segment:
-        flush()
-    return segment
+    """Export (id, vector) as numbered segment files, in order of id, to a folder of any store that Spark reaches.
+
+    Tasks build whole segments; the driver holds one at a time and writes it, as Spark has no
+    writer of raw bytes.  All vectors must have ``dim`` elements.
+    """
+    files, head = Files(df.sparkSession), header(dim) * headered
+    files.make(path)
+    placed = with_ordinals(df.select("id", "vector")).withColumn("segment", F.floor(F.col("ord") / rows_per_segment))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, rows = None, [], []
+
+        def out() -> pa.RecordBatch:
+            body = to_frames(np.concatenate(ids), np.concatenate(rows).astype(np.float32))
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([head + body])], ["segment", "body"])
+
+        for batch in batches:
+            segments = batch.column("segment").to_numpy()
+            x, at = kernels.matrix(batch.column("vector"), dim)
+            if len(at) < batch.num_rows:
+                raise ValueError(f"a vector has not {dim} elements")
+            own = batch.column("id").to_numpy()
+            for s in np.unique(segments):
+                if s != now:
+                    if ids:
+                        yield out()
+                    now, ids, rows = int(s), [], []
+                ids.append(own[segments == s])
+                rows.append(x[segments == s])
+        if ids:
+            yield out()
+
+    dealt = placed.repartitionByRange("segment").sortWithinPartitions("segment", "ord")
+    n = 0
+    for r in dealt.select("segment", "id", "vector").mapInArrow(packed, "segment bigint, body binary").toLocalIterator():
+        files.write(f"{path}/segment.{r.segment}.vec", bytes(r.body))
+        n += 1
+    if not n:
+        files.write(f"{path}/segment.0.vec", head)
+    return max(n, 1)
 
 
 def in_order(names: list[str]) -> list[str]:

@@ -37,12 +37,12 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
+    def write(self, path: str, text: str | bytes) -> None:
         """Replace a file: written beside it, then renamed over it."""
         fs, p = self._at(path)
         aside = self.jvm.org.apache.hadoop.fs.Path(path + ".new")
         stream = fs.create(aside, True)
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(text.encode() if isinstance(text, str) else text))
         stream.close()
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)

@@ -15,7 +15,7 @@ _swept: set[str] = set()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; in a local one where that is unset, as in tests.
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, in a local one for a local master, else an error.
 
     Paths lie under the application's id. That folder is deleted when the driver's
     Python ends; after a crash a cluster can sweep it by its name.
@@ -23,7 +23,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else os.path.join(tempfile.gettempdir(), "vectrail-scratch")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = os.path.join(tempfile.gettempdir(), "vectrail-scratch")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = f"{folder}/{spark.sparkContext.applicationId}"
     if own not in _swept:
         _swept.add(own)

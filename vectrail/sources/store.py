@@ -3,7 +3,10 @@
 A collection is a folder::
 
     _collection.json      all settings
+    _ids.json             the next id, and where the last append began
+    _data                 names the folder of rows in use: data, or data-<n> after a compaction
     data/part=<tag>/      appended rows: id, vector, rid, extra
+    changes/part=<n>/     updated and deleted metadata, by id
     quarantine/part=<tag>/  rows that were refused, with the reason
     log/                  ts, message
     index/v<millis>/      built indexes; index/_active names the one in use
@@ -11,7 +14,9 @@ A collection is a folder::
 Appends are immutable parts under a tag, so that a batch that is written again
 (a stream that restarts) replaces itself.  Ids are contiguous: rows are staged
 with their place in their partition, and partitions get the ranges that follow the
-collection's last id.  One writer appends at a time, any number read.
+collection's last id, which a small file keeps, so that an append reads no other part.
+That file is replaced before the rows are written: an append that fails and is not
+repeated under its tag leaves a gap.  One writer appends at a time, any number read.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from .files import Files
 
 KEEP = 11
 REFUSED = "vector array<float>, rid string, extra string, reason string"
+CHANGES = "id bigint, rid string, extra string, gone boolean, seq bigint"
 
 
 def refused(dim: int | None) -> Column:
@@ -55,22 +61,86 @@ class Collection:
         self._open()
         if self.config.transient:
             return self._rows if self._rows is not None else self.spark.createDataFrame([], ROW)
-        if not self.files.exists(f"{self.path}/data"):
+        if not self.files.exists(self._data()):
             return self.spark.createDataFrame([], ROW)
         if self._memory is not None:
             return self._memory
-        rows = self.spark.read.schema(ROW).option("recursiveFileLookup", True).parquet(f"{self.path}/data")
+        rows = self.spark.read.schema(ROW).option("recursiveFileLookup", True).parquet(self._data())
+        if self.files.exists(f"{self.path}/changes"):
+            rows = self._changed(rows)
         if self.config.in_memory:
             self._memory = rows.persist()
             return self._memory
         return rows
 
+    def _data(self) -> str:
+        pointer = f"{self.path}/_data"
+        return f"{self.path}/{self.files.read(pointer).strip() if self.files.exists(pointer) else 'data'}"
+
+    def _changed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the newest change of each id; deleted metadata leaves a vector without rid and extra."""
+        changes = self.spark.read.schema(CHANGES).option("recursiveFileLookup", True).parquet(f"{self.path}/changes")
+        newest = changes.groupBy("id").agg(F.max_by(F.struct("rid", "extra", "gone"), "seq").alias("_c"))
+        of = lambda name: F.when(F.col("_c").isNull(), F.col(name)).when(~F.col("_c.gone"), F.col(f"_c.{name}")).alias(name)
+        return rows.join(newest, "id", "left").select("id", "vector", of("rid"), of("extra"))
+
     def records(self) -> DataFrame:
         """id, vector, rid, meta; meta is one JSON shape for every kind of collection."""
         return self.rows().select("id", "vector", "rid", text.metadata_json("rid", "extra").alias("meta"))
 
     def metadata(self) -> DataFrame:
-        return self.rows().select("id", text.metadata_json("rid", "extra").alias("meta"))
+        """id, meta of the rows that have metadata."""
+        return self.rows().where(F.col("rid").isNotNull()).select("id", text.metadata_json("rid", "extra").alias("meta"))
+
+    def update_metadata(self, changes: DataFrame) -> int:
+        """New extra for (id, rid, extra) rows; a rid that is not the newest of its id is refused, and then nothing changes."""
+        self._stored()
+        asked = changes.select(F.col("id").cast("bigint").alias("id"), "rid", "extra")
+        known = self.rows().where(F.col("rid").isNotNull()).groupBy("rid").agg(F.max("id").alias("_id"))
+        wrong = asked.join(known, "rid", "left").where(~F.col("_id").eqNullSafe(F.col("id")))
+        if not wrong.isEmpty():
+            raise ValueError("rid and id do not match")
+        return self._write_changes(asked.withColumn("gone", F.lit(False)))
+
+    def delete_metadata(self, ids: DataFrame) -> int:
+        """Drop rid and extra of the ids; one that is unknown is no error. Vectors stay and are found without metadata."""
+        self._stored()
+        nothing = F.lit(None).cast("string")
+        return self._write_changes(ids.select(F.col("id").cast("bigint").alias("id"), nothing.alias("rid"), nothing.alias("extra"), F.lit(True).alias("gone")))
+
+    def _stored(self) -> None:
+        self._open()
+        if self.config.transient:
+            raise ValueError("a transient collection keeps no changes")
+
+    def _write_changes(self, rows: DataFrame) -> int:
+        parts = [int(x.removeprefix("part=")) for x in self.files.names(f"{self.path}/changes")]
+        seq = max(parts, default=0) + 1
+        path = f"{self.path}/changes/part={seq}"
+        rows.withColumn("seq", F.lit(seq).cast("bigint")).dropDuplicates(["id"]).write.mode("overwrite").parquet(path)
+        self.reload()
+        return self.spark.read.schema(CHANGES).parquet(path).count()
+
+    def compact(self) -> str:
+        """All parts and changes as one folder of large files in order of id, put in use by a pointer file; the old one goes.
+
+        The last append keeps a part under its tag, so that a stream may still repeat that batch.
+        """
+        self._stored()
+        old, state = self._data(), self._next()
+        n = 1 + max([int(x.removeprefix("data-")) for x in self.files.names(self.path) if x.startswith("data-")], default=0)
+        fresh = f"{self.path}/data-{n}"
+        last = F.col("id") >= (state["start"] if state["tag"] else state["next"])
+        for name, rows in (("compact", self.rows().where(~last)), (state["tag"], self.rows().where(last))):
+            if name:
+                files = max(1, -(-rows.count() // self.config.rows_per_file))
+                dealt = rows.repartitionByRange(files, "id").sortWithinPartitions("id")
+                dealt.write.mode("overwrite").option("compression", self.config.compression.value).parquet(f"{fresh}/part={name}")
+        self.files.write(f"{self.path}/_data", f"data-{n}")
+        self.files.delete(old)
+        self.files.delete(f"{self.path}/changes")
+        self.reload()
+        return fresh
 
     def count(self) -> int:
         return self.rows().count()
@@ -120,16 +190,20 @@ class Collection:
         placed = f"{stage}-placed"
         good.write.mode("overwrite").parquet(placed)
         good = self.spark.read.parquet(placed).withColumn("_part", F.shiftright("_at", 33)).withColumn("_pos", F.col("_at").bitwiseAND((1 << 33) - 1))
-        next_id = self._next_id(tag)
+        state = self._next()
+        next_id = state["start"] if state["tag"] == tag else state["next"]
         starts, n = [], 0
         for r in good.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # one row for each task that wrote
             starts.append((r._part, next_id + n))
             n += r.n
+        self._save_next({"next": max(state["next"], next_id + n), "tag": tag, "start": next_id})
+        target = f"{self._data()}/part={tag}"
+        self.files.delete(target)
         if n:
             start = F.broadcast(self.spark.createDataFrame(starts, "_part bigint, _start bigint"))
             out = good.join(start, "_part").select((F.col("_start") + F.col("_pos")).alias("id"), "vector", "rid", "extra")
             compression = self.config.compression.value
-            out.sortWithinPartitions("id").write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", self.config.rows_per_file).parquet(f"{self.path}/data/part={tag}")
+            out.sortWithinPartitions("id").write.mode("overwrite").option("compression", compression).option("maxRecordsPerFile", self.config.rows_per_file).parquet(target)
         bad = staged.where("_m = 1").drop("_m")
         refused_rows = bad.count()
         if refused_rows:
@@ -141,22 +215,33 @@ class Collection:
         self.reload()
         return n, refused_rows
 
-    def _next_id(self, tag: str) -> int:
-        names = [x for x in self.files.names(f"{self.path}/data") if x != f"part={tag}"]
-        if not names:
-            return 0
-        last = self.spark.read.schema(ROW).parquet(*(f"{self.path}/data/{x}" for x in names)).agg(F.max("id")).first()[0]
-        return 0 if last is None else last + 1
+    def _next(self) -> dict:
+        """The next id, and the tag and first id of the last append; read from the rows if the file is not there."""
+        path = f"{self.path}/_ids.json"
+        if self.files.exists(path):
+            return json.loads(self.files.read(path))
+        last = self.last_id()
+        n = 0 if last is None else last + 1
+        return {"next": n, "tag": None, "start": n}
+
+    def _save_next(self, state: dict) -> None:
+        self.files.write(f"{self.path}/_ids.json", json.dumps(state))
 
     def _add_transient(self, judged: DataFrame) -> tuple[int, int]:
-        start = 0 if self._rows is None else self._rows.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
-        judged = judged.persist()
-        good = judged.where("reason is null")
-        n, total = good.count(), judged.count()
-        # Transient collections are small by definition: they live in this session's memory.
-        place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1 + start
-        rows = good.select(place.cast("bigint").alias("id"), "vector", "rid", "extra").persist()
+        next_id = 0 if self._rows is None else self._rows.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+        # Transient collections live in this session's memory, and there partitions keep their rows.
+        judged = judged.withColumn("_at", F.monotonically_increasing_id()).persist()
+        good = judged.where("reason is null").withColumn("_part", F.shiftright("_at", 33))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
+        starts, n = [], 0
+        for r in good.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # one row for each partition
+            starts.append((r._part, next_id + n))
+            n += r.n
+        start = F.broadcast(self.spark.createDataFrame(starts, "_part bigint, _start bigint"))
+        rows = good.withColumn("_pos", place).join(start, "_part").select((F.col("_start") + F.col("_pos")).alias("id"), "vector", "rid", "extra").persist()
         rows.count()
+        total = judged.count()
+        judged.unpersist()
         self._rows = rows if self._rows is None else self._rows.unionByName(rows)
         return n, total - n
 
@@ -172,9 +257,14 @@ class Collection:
 
     # Searching
 
-    def search(self, query, k: int = DEFAULT_TOP_K, threshold: float | None = DEFAULT_THRESHOLD, where: Column | None = None, order: str = "desc") -> DataFrame:
-        """id, score, meta of the rows nearest to one vector."""
+    def search(
+        self, query, k: int = DEFAULT_TOP_K, threshold: float | None = DEFAULT_THRESHOLD, where: Column | None = None, order: str = "desc", timeout_millis: float | None = None
+    ) -> DataFrame:
+        """id, score, meta of the rows nearest to one vector; with a timeout the search runs now, or raises a TimeoutError."""
         self._open()
+        if timeout_millis is not None:
+            found = self.search(query, k, threshold, where, order)
+            return search.arranged(search.within(found, timeout_millis), self.config.similarity, order)
         s = self.config.similarity
         if where is None and self.config.strategy is not IndexStrategy.NO_INDEX:
             one = self.spark.createDataFrame([(0, [float(x) for x in query])], "id bigint, vector array<float>")
@@ -202,7 +292,7 @@ class Collection:
 
     def _sign(self, tag: str) -> None:
         path, settings = f"{self.path}/lsh", self.config.lsh
-        fresh = self.spark.read.schema(ROW).parquet(f"{self.path}/data/part={tag}")
+        fresh = self.spark.read.schema(ROW).parquet(f"{self._data()}/part={tag}")
         if self.files.exists(f"{path}/planes"):
             lsh.LshIndex.load(self.spark, path).append(path, fresh)
         else:
@@ -210,7 +300,7 @@ class Collection:
 
     def snapshot(self) -> dict:
         """The parts and the last id that an index build reads."""
-        return {"segments": self.files.names(f"{self.path}/data"), "last_vector_id": self.last_id()}
+        return {"segments": self.files.names(self._data()), "last_vector_id": self.last_id()}
 
     def build_index(self, parameters: ann.AnnParameters | None = None, hook=None, keep: int = KEEP) -> str:
         """Build, log, call ``hook`` with a summary, make active, purge; returns the version's name."""
