@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,6 +95,24 @@ def bound_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
         spark.conf.set(name, str(most_bytes))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving freed memory back to the system at its end: workers are used again by other stages."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def scored(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], cut: float, carry: bool = False, rows: int = 256) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; with ``carry`` also the row as the struct ``doc``, whose names cannot clash.
 
@@ -106,6 +126,7 @@ def scored(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]], cu
         for texts in batches:
             parts = [of(texts.slice(at, rows).to_pylist()) for at in range(0, len(texts), rows)]
             yield pa.array(np.concatenate([np.empty(0), *parts]))
+        give_back()
 
     # Called nondeterministic so that a filter on the score is not moved below it, which would score every text twice.
     score = F.arrow_udf(run, "double").asNondeterministic()

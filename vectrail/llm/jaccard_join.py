@@ -52,12 +52,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, tasks, written
+from .common import bound_batches, discard, tasks, tidy, written
 
 WORDS = 5
 PERCENT = 75
 #: Entries that a bucket's task sorts at once, about; nodes in a block of a large group.
-ENTRIES, BLOCK = 1_500_000, 1024
+ENTRIES, BLOCK = 1_500_000, 512
 #: Nodes with a shingle from which on it is split, and the share of texts that are looked at to find such shingles; they are at most MOST_HOT or so.
 HOT, SAMPLE, MOST_HOT = 400_000, 64, 100_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -184,7 +184,7 @@ def _hot(docs: DataFrame, total: int) -> Hot:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(fps))], ["tok", "fp"])
 
     some = docs.where(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(SAMPLE)) == 0).where("doc_id is not null").select("text")
-    counts = some.mapInArrow(run, "tok bigint, fp bigint").groupBy("tok").agg((F.approx_count_distinct("fp") * SAMPLE).alias("df"))
+    counts = some.mapInArrow(tidy(run), "tok bigint, fp bigint").groupBy("tok").agg((F.approx_count_distinct("fp") * SAMPLE).alias("df"))
     rows = counts.where(F.col("df") >= cut).collect()  # about MOST_HOT at most, as all entries are shared out among them
     return Hot(np.array([r.tok for r in rows], np.int64).view(np.uint64), np.array([r.df for r in rows], np.int64))
 
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 rest.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(rest, pa.int64()), batch.column(2)], ["doc_id", "n", "fp", "rest", "key"])
 
-    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, n bigint, fp bigint, rest bigint, key bigint")
+    return docs.withColumn("key", F.xxhash64("text")).mapInArrow(tidy(run), "doc_id bigint, n bigint, fp bigint, rest bigint, key bigint")
 
 
 def _names(sets: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
@@ -243,7 +243,7 @@ def _members(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([left.column(0), pa.array(sets, pa.binary())], ["fp", "s"])
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(run, "fp bigint, s binary")
+    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(tidy(run), "fp bigint, s binary")
 
 
 def _prefix_entries(docs: DataFrame, buckets: int, hot: Hot, names: dict[tuple[int, int], int]) -> DataFrame:
@@ -274,13 +274,13 @@ def _prefix_entries(docs: DataFrame, buckets: int, hot: Hot, names: dict[tuple[i
                 m = len(first)
                 held.append((first, np.full(m, fp, np.int64), np.maximum(1, np.arange(1, m + 1) - (n - need(n))).astype(np.uint8)))
                 size += m
-                if size >= ENTRIES:
+                if size >= ENTRIES // 4:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    return docs.mapInArrow(run, _packed_schema(3))
+    return docs.mapInArrow(tidy(run), _packed_schema(3))
 
 
 def _shared(entries: DataFrame, buckets: int, partitions: int, hot: Hot) -> DataFrame:
@@ -304,7 +304,7 @@ def _shared(entries: DataFrame, buckets: int, partitions: int, hot: Hot) -> Data
                 j = i + ENTRIES
                 yield _packed(_bucket(fp[i:j], buckets), [fp[i:j], tok[i:j], lvl[i:j], df[i:j]])
 
-    return entries.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(4))
+    return entries.repartition(partitions, "bucket").mapInArrow(tidy(run), _packed_schema(4))
 
 
 def _sizes_packed(nodes: DataFrame, buckets: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _sizes_packed(nodes: DataFrame, buckets: int) -> DataFrame:
             # level 0 marks a node's size
             yield _packed(_bucket(fp, buckets), [fp, n.astype(np.uint64), empty, empty.astype(np.uint32)])
 
-    return nodes.select("fp", "n").mapInArrow(run, _packed_schema(4))
+    return nodes.select("fp", "n").mapInArrow(tidy(run), _packed_schema(4))
 
 
 def choose(levels: np.ndarray, df: np.ndarray, n: int) -> tuple[int, np.ndarray]:
@@ -364,13 +364,13 @@ def _probes(shared: DataFrame, buckets: int, partitions: int, hot: Hot) -> DataF
             rank = np.uint32(sent - m) * np.uint32(1 << 12) // np.uint32(sent)  # those that share all come first
             held.append((tok[a:b], fp[a:b], np.full(m, n, np.uint32), np.full(m, l, np.uint8), role, np.full(m, rank, np.uint32)))
             size += m
-            if size >= ENTRIES:
+            if size >= ENTRIES // 4:
                 yield out()
                 held, size = [], 0
         if held:
             yield out()
 
-    return shared.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(6))
+    return shared.repartition(partitions, "bucket").mapInArrow(tidy(run), _packed_schema(6))
 
 
 PROBE = [np.uint64, np.int64, np.uint32, np.uint8, np.uint8, np.uint32]
@@ -400,7 +400,7 @@ def _hot_hubs(probes: DataFrame, hot: Hot) -> dict[tuple[int, int], tuple[int, i
                 columns = [tok[starts].view(np.int64), part[starts], np.maximum.reduceat(l, starts).astype(np.int32), rank[starts].astype(np.int64), fp[starts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tok", "part", "reach", "rank", "fp"])
 
-    found = probes.mapInArrow(run, "tok bigint, part bigint, reach int, rank bigint, fp bigint")
+    found = probes.mapInArrow(tidy(run), "tok bigint, part bigint, reach int, rank bigint, fp bigint")
     rows = found.groupBy("tok", "part").agg(F.max("reach").alias("reach"), F.min(F.struct("rank", "fp")).alias("hub")).collect()  # some size classes of each hot shingle
     return {(r.tok, r.part): (r.reach, r.hub.fp) for r in rows}
 
@@ -459,7 +459,7 @@ def _memberships(probes: DataFrame, buckets: int, partitions: int, hot: Hot, hub
         first = np.r_[True, at[1:] != at[:-1]]
         return [fp[first][np.cumsum(first) - 1], fp, l]
 
-    return probes.repartition(partitions, "bucket").mapInArrow(run, _packed_schema(3))
+    return probes.repartition(partitions, "bucket").mapInArrow(tidy(run), _packed_schema(3))
 
 
 def _groups(memberships: DataFrame, partitions: int) -> DataFrame:
@@ -476,35 +476,50 @@ def _groups(memberships: DataFrame, partitions: int) -> DataFrame:
             r = rows[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[f])) for f in r.dtype.names], ["hub", "fp", "l"])
 
-    return memberships.repartition(partitions, "bucket").mapInArrow(run, "hub bigint, fp bigint, l int")
+    return memberships.repartition(partitions, "bucket").mapInArrow(tidy(run), "hub bigint, fp bigint, l int")
+
+
+def overlaps(sets: list[np.ndarray], at_once: int = 1 << 20) -> np.ndarray:
+    """Shared elements of every two of the sets, which are sorted; about ``at_once`` elements are held beside them."""
+    m, total = len(sets), sum(map(len, sets))
+    out = np.zeros((m, m), np.int32)
+    passes = max(1, -(-total // at_once))
+    starts = np.zeros(m, np.int64)
+    if passes > 1:
+        some = np.sort(np.concatenate([x[::passes] for x in sets]))
+        edges = some[np.arange(1, passes) * len(some) // passes]
+    for k in range(passes):
+        ends = np.array([len(x) if k == passes - 1 else np.searchsorted(x, edges[k]) for x in sets], np.int64)
+        _count([x[a:b] for x, a, b in zip(sets, starts, ends, strict=True)], out)
+        starts = ends
+    return out
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Shared elements of every two of the sets."""
+def _count(sets: list[np.ndarray], out: np.ndarray, wide: int = 24) -> None:
+    """Add the shared elements of every two of the sets to the upper half of ``out``."""
     m = len(sets)
-    own = np.repeat(np.arange(m), [len(s) for s in sets])
+    own = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in sets])
     flat = np.concatenate(sets) if m else np.empty(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     flat, own = flat[order], own[order]
     starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
     df = np.diff(np.r_[starts, len(flat)])
-    out = np.zeros(m * m, np.int64)
-    wide = 24
     for d in np.unique(df[(df > 1) & (df < wide)]):
         members = own[starts[df == d][:, None] + np.arange(d)]
         a, b = np.triu_indices(d, 1)
-        for i in range(0, len(members), max(1, 4_000_000 // len(a))):
-            part = members[i : i + max(1, 4_000_000 // len(a))]
-            out += np.bincount((part[:, a] * m + part[:, b]).ravel(), minlength=m * m)
-    out = out.reshape(m, m)
+        each = max(1, 1_000_000 // len(a))
+        for i in range(0, len(members), each):
+            part = members[i : i + each].astype(np.int64)
+            pairs, n = np.unique(part[:, a] * m + part[:, b], return_counts=True)
+            out.ravel()[pairs] += n.astype(np.int32)
     heavy = np.flatnonzero(df >= wide)
-    for i in range(0, len(heavy), 2048):
-        some = heavy[i : i + 2048]
+    for i in range(0, len(heavy), 1024):
+        some = heavy[i : i + 1024]
         x = np.zeros((m, len(some)), np.float32)
         for k, s in enumerate(some):
             x[own[starts[s] : starts[s] + df[s]], k] = 1
-        out += np.triu(np.rint(x @ x.T).astype(np.int64), 1)
-    return out
+        for r in range(0, m, 128):
+            out[r : r + 128, r:] += np.triu(x[r : r + 128] @ x[r:].T, 1).astype(np.int32)
 
 
 def links(sets: list[np.ndarray], ls: np.ndarray) -> list[tuple[int, int]]:
@@ -563,7 +578,7 @@ def _verified(members: DataFrame) -> DataFrame:
         if len(group) > 1 and (out := edges(group)):
             yield out
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    return members.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _stars(members: DataFrame, whole: DataFrame) -> DataFrame:
@@ -582,7 +597,7 @@ def _stars(members: DataFrame, whole: DataFrame) -> DataFrame:
                 linked.append(100 * shared >= PERCENT * (len(own) + len(s) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("fp"), batch.column("l"), pa.array(linked, pa.bool_())], ["hub", "fp", "l", "linked"])
 
-    return members.join(whole, "fp").join(hubs, "hub").mapInArrow(run, "hub bigint, fp bigint, l int, linked boolean")
+    return members.join(whole, "fp").join(hubs, "hub").mapInArrow(tidy(run), "hub bigint, fp bigint, l int, linked boolean")
 
 
 def _blocks(stars: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, tidy
+
 LONGEST = 1024
 END = 0
 
@@ -84,6 +86,7 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 def pack(docs: DataFrame, model: str, ranks: str | None = None, pattern: str | None = None, longest: int = LONGEST, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds the ids themselves as array<int>. ``bucket`` is the length's logarithm."""
     lengths(1, longest)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (model, ranks, pattern)
@@ -113,4 +116,4 @@ def pack(docs: DataFrame, model: str, ranks: str | None = None, pattern: str | N
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), SCHEMA + ", ids array<int>" * with_ids)

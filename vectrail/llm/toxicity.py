@@ -53,7 +53,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, learnable, rows_of, sampled, scored, tasks, written
+from .common import bound_batches, discard, learnable, rows_of, sampled, scored, tasks, tidy, written
 
 LEVEL = 12
 WINDOW = 8
@@ -248,6 +248,7 @@ def _trained(texts: DataFrame, trainer_bytes: int | None) -> dict[int, tuple[byt
                 yield pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([a]), pa.array([b])], ["fit", "ordinary", "toxic"])
 
     fits = texts.select("text", "y", F.explode(F.array(F.lit(WHOLE), 1 - F.col("half"))).alias("fit"))
+    run = tidy(run)
     return {r.fit: (bytes(r.ordinary), bytes(r.toxic)) for r in fits.repartitionByRange(3, "fit").mapInArrow(run, "fit int, ordinary binary, toxic binary").collect()}
 
 
