@@ -103,8 +103,12 @@ def need(n):
 
 
 def longest(n):
-    """The largest ``l`` whose prefix a node sends."""
-    return 1 + np.minimum(n // 32, 250)
+    """The largest ``l`` whose prefix a node sends.
+
+    A quarter of a small set and an eighth of a large one: a passage that many documents
+    share is then fewer than ``l`` shingles of the prefix and may be left out of the probe.
+    """
+    return 1 + np.minimum(np.maximum(np.minimum(n // 4, 32), n // 8), 250)
 
 
 def allowed(n):
@@ -657,7 +661,7 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     sets, names = _names(written(_sets(docs), "jaccard-sets"))
     some = sets.where("n > 0 and doc_id is not null")
     nodes = some.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.max("n").alias("n")).withColumn("least", F.col("row.doc_id"))
-    total = some.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / 32))).first()[0] or 0
+    total = some.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + F.floor(F.col("n") / 4))).first()[0] or 0
     partitions = max(tasks(spark), -(-int(total) // ENTRIES))
     buckets = 4 * partitions
 
