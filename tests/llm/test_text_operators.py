@@ -108,6 +108,20 @@ def test_fast_ids_are_the_tokenizers():
     assert packing.Ids.PLAIN.search("中") and not packing.Ids.PLAIN.search("é–")
 
 
+def test_runs_have_the_ids_of_the_whole_text(monkeypatch):
+    whole = packing.Ids(BPE[0])
+    whole.in_runs = False
+    rng = random.Random(2)
+    parts = ["a", "Word", "don't", "'s", "42", " ", "  ", "\n", " \n", "\t", ".", ", ", "é", "中文", "\xa0", "\u2003", "<|endoftext|>", " the", " x1", "!? ", "_", "\x85", " (", "😀"]
+    texts = ["".join(rng.choices(parts, k=400)) for _ in range(300)] + ["a" * 500, " " * 500, "ab " * 300, "a  b " * 200, ""]
+    monkeypatch.setattr(packing.Ids, "RUN", 40)
+    fast, plain = packing.Ids(*BPE), packing.Ids(BPE[0])
+    assert plain.in_runs and len(list(plain.runs("ab " * 300))) > 10
+    for t in texts:
+        assert "".join(plain.runs(t)) == t
+        assert fast.encode(t).tolist() == plain.encode(t).tolist() == whole.tokenizer.encode(t, add_special_tokens=False).ids, repr(t[:60])
+
+
 def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 

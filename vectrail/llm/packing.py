@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +47,16 @@ class Ids:
     faster ``tiktoken``.  The file's special strings, and characters outside the
     blocks in ``PLAIN``, for which the two libraries' Unicode tables could
     differ, always go to ``tokenizers``.
+
+    Long texts are encoded run by run of about ``RUN`` characters, as an encoding takes
+    many times its text's memory.  Runs end before a single space between letters, digits
+    or marks of ASCII: the pattern of byte-level BPE always starts a new word there, so
+    the ids are those of the whole text.  A text without such a place is one run.
     """
 
     PLAIN = re.compile("[^\u0000-ɏ‐-‧€]")
+    RUN = 1 << 16
+    CUT = re.compile(r"(?<=[A-Za-z0-9.,;:!?]) (?=[A-Za-z0-9])")
 
     def __init__(self, model: str, ranks: str | None = None, pattern: str | None = None):
         import json
@@ -59,7 +65,11 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(model)
         with open(model, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+            file = json.load(f)
+        self.special = [t["content"] for t in file.get("added_tokens", [])]
+        split = file.get("pre_tokenizer") or {}
+        known = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        self.in_runs = known and not file.get("normalizer") and not file.get("truncation") and not any(self.CUT.search(s) for s in self.special)
         self.fast = None
         if ranks:
             import base64
@@ -70,9 +80,21 @@ class Ids:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    def runs(self, text: str) -> Iterator[str]:
+        at = 0
+        while self.in_runs and len(text) - at > self.RUN and (cut := self.CUT.search(text, at + self.RUN)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:] if at else text
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
+        if len(text) <= self.RUN:
+            return self._run(text)
+        return np.concatenate([self._run(x) for x in self.runs(text)])
+
+    def _run(self, text: str) -> np.ndarray:
         if self.fast and not self.PLAIN.search(text) and not any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -112,7 +134,7 @@ def pack(docs: DataFrame, model: str, ranks: str | None = None, pattern: str | N
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain(*own), np.int32, ends[-1]))))
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(own).astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
