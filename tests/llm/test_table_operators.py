@@ -465,9 +465,10 @@ def test_components(spark, seed, groups, most, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
     assert got == brute_components(docs)
-    if seed == 2:  # large groups in blocks
-        monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str) == got
+    for name, most in (("BLOCK", 16), ("ELEMENTS", 1_500)) if seed == 2 else ():  # large groups in blocks, by nodes and by shingles
+        with monkeypatch.context() as m:
+            m.setattr(jaccard_join, name, most)
+            assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str) == got
 
 
 def test_components_of_documents(spark):

@@ -24,7 +24,7 @@ no partner and is done; in most corpora that is nearly every node.
 *Candidates.*  In a list of nodes that share a probed shingle, those of like size
 join the group of the list's hub, so that a pair that shares a probed shingle
 meets in a group and groups are few.  No pairs are formed in the shuffle.  In groups
-beyond ``BLOCK`` nodes, members are first compared with the hub; those that link
+beyond ``BLOCK`` nodes or ``ELEMENTS`` shingles, members are first compared with the hub; those that link
 with it need not meet one another, the others meet all, block by block.  In a task, pairs with too few shared prefix shingles are dropped, the others are
 verified on whole sets, and a spanning forest of the links leaves it.
 
@@ -56,8 +56,8 @@ from .common import bound_batches, discard, tasks, tidy, written
 
 WORDS = 5
 PERCENT = 75
-#: Entries that a bucket's task sorts at once, about; nodes in a block of a large group.
-ENTRIES, BLOCK = 1_500_000, 512
+#: Entries that a bucket's task sorts at once, about; nodes in a block of a large group, and shingles in it.
+ENTRIES, BLOCK, ELEMENTS = 1_500_000, 512, 1 << 23
 #: Nodes with a shingle from which on it is split, and the share of texts that are looked at to find such shingles; they are at most MOST_HOT or so.
 HOT, SAMPLE, MOST_HOT = 400_000, 64, 100_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -232,7 +232,7 @@ def _names(sets: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
 
 
 def _members(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """fp, s of the nodes: whole sets, hashed, from one of their rows each; what repeats an id and a text goes as early as may be."""
+    """fp, n, s of the nodes: whole sets, hashed, and their sizes, from one of their rows each; what repeats an id and a text goes as early as may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -244,10 +244,10 @@ def _members(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     seen.add(fp)
             left = batch.filter(pa.array(fresh, pa.bool_()))
             sets = [shingles(t).tobytes() for t in left.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([left.column(0), pa.array(sets, pa.binary())], ["fp", "s"])
+            yield pa.RecordBatch.from_arrays([left.column(0), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["fp", "n", "s"])
 
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(tidy(run), "fp bigint, s binary")
+    return keyed.join(nodes.select("fp", F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("key")), ["doc_id", "key"]).select("fp", "text").mapInArrow(tidy(run), "fp bigint, n bigint, s binary")
 
 
 def _prefix_entries(docs: DataFrame, buckets: int, hot: Hot, names: dict[tuple[int, int], int]) -> DataFrame:
@@ -586,7 +586,7 @@ def _verified(members: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, whole: DataFrame) -> DataFrame:
-    """hub, fp, l, linked: which members of large groups link with their hub."""
+    """hub, fp, l, n, linked: which members of large groups link with their hub."""
     hubs = members.select("hub").distinct().join(whole, F.col("hub") == F.col("fp")).select("hub", F.col("s").alias("hub_s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -599,9 +599,10 @@ def _stars(members: DataFrame, whole: DataFrame) -> DataFrame:
                 s = np.frombuffer(s, np.uint64)
                 shared = len(np.intersect1d(own, s, assume_unique=True))
                 linked.append(100 * shared >= PERCENT * (len(own) + len(s) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("fp"), batch.column("l"), pa.array(linked, pa.bool_())], ["hub", "fp", "l", "linked"])
+            same = ["hub", "fp", "l", "n"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), pa.array(linked, pa.bool_())], [*same, "linked"])
 
-    return members.join(whole, "fp").join(hubs, "hub").mapInArrow(tidy(run), "hub bigint, fp bigint, l int, linked boolean")
+    return members.join(whole, "fp").join(hubs, "hub").mapInArrow(tidy(run), "hub bigint, fp bigint, l int, n bigint, linked boolean")
 
 
 def _blocks(stars: DataFrame) -> DataFrame:
@@ -612,7 +613,8 @@ def _blocks(stars: DataFrame) -> DataFrame:
     i of the former and j of the latter; with i below 0, blocks -1 - i and j of the
     latter.
     """
-    count = lambda which: F.ceil(F.sum(which.cast("int")) / BLOCK).cast("int")
+    total = lambda which, of: F.sum(F.when(which, of).otherwise(0))
+    count = lambda which: F.ceil(F.greatest(total(which, 1) / BLOCK, total(which, F.col("n")) / ELEMENTS)).cast("int")
     sizes = stars.groupBy("hub").agg(count(F.col("linked")).alias("near"), count(~F.col("linked")).alias("far"))
     each = stars.join(sizes.where("far > 0"), "hub")
     place = lambda blocks: F.pmod(F.xxhash64("fp"), F.col(blocks)).cast("int")
@@ -675,9 +677,11 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     groups = written(_groups(_memberships(probes, buckets, partitions, hot, hubs), partitions), "jaccard-groups")
 
     whole = written(_members(docs, nodes.join(groups.select("fp").distinct(), "fp")), "jaccard-members")
-    sized = groups.join(groups.groupBy("hub").agg(F.count("*").alias("m")), "hub")
-    small = sized.where(F.col("m") <= BLOCK).select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "l")
-    stars = written(_stars(sized.where(F.col("m") > BLOCK).select("hub", "fp", "l"), whole), "jaccard-stars")
+    each = groups.join(whole.select("fp", "n").dropDuplicates(["fp"]), "fp").groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("elements"))
+    large = (F.col("m") > BLOCK) | (F.col("elements") > ELEMENTS)
+    sized = groups.join(each, "hub")
+    small = sized.where(~large).select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "l")
+    stars = written(_stars(sized.where(large).select("hub", "fp", "l"), whole), "jaccard-stars")
     members = small.unionByName(_blocks(stars)).join(whole, "fp").select("hub", "i", "j", "fp", "l", "s")
     dealt = members.repartition(partitions, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     near_hub = stars.where("linked and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
