@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, tidy
+
 WINDOW = 8
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
@@ -156,6 +158,7 @@ SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = True) -> DataFrame:
     """One row per document: the base counts, the verdict, and the text without its failed lines."""
     names = [n for n in COLUMNS if with_text or n != "clean_text"]
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = LineJudge(rules)
@@ -165,4 +168,4 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool
                 [batch.column(0), *(pa.array([r[n] for r in rows], COLUMNS[n]) for n in names)], ["doc_id", *names]
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA + ", clean_text string" * with_text)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(run), SCHEMA + ", clean_text string" * with_text)
