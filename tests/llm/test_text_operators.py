@@ -300,6 +300,17 @@ def test_verdict_by_plain_rules(spark):
     assert 0 < rejected < len(docs)
 
 
+def test_fast_look_for_phrases():
+    """It says no only where the pattern finds nothing."""
+    judge, rng = quality_rules.LineJudge(quality_rules.LineRules()), random.Random(4)
+    bits = ["cookie", "COO", "\u212aie", "avi\u017fo legal", "Aviso Legal", "MENTIONS LÉGALES", "cond\u0131ciones de uso", "\u0130mpressum", "Impressum", "plain words", " ", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 5)))
+        assert judge.may_hold_phrases(text) or not judge.boilerplate.search(text), repr(text)
+    greek = quality_rules.LineJudge(quality_rules.LineRules(boilerplate=("\u03b2ita",)))
+    assert greek.may_hold_phrases("\u03d0ita") and greek.boilerplate.search("\u03d0ita")
+
+
 def test_boilerplate_at_every_length():
     """The same mixture of words and phrases is judged alike, short or long."""
     judge = quality_rules.LineJudge(quality_rules.LineRules())

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, tidy
 
 WINDOW = 8
-SYMBOLS = re.compile(rb"[#*$%&|<>]")
+SYMBOLS = b"#*$%&|<>"
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS = UPPER + UPPER.lower()
 
 #: Phrases of boilerplate, in English, German, French and Spanish.
 BOILERPLATE = (
@@ -68,24 +70,43 @@ class LineJudge:
         self.rules = rules
         self.boilerplate = re.compile("|".join(map(re.escape, rules.boilerplate)), re.I)
         self.sentence_end = re.compile(r"[.!?…。！？](?=[\"'”’»)\]]*(?:\s|$))")
-        self.navigation = re.compile(r"(?:\s[|»›>]\s.*){3}|^\s*(?:home|menu|login|search|next|previous|share)\b[\s|>»]*$", re.I)
-
-    def failed(self, line: str) -> str | None:
-        """The rule that a line with words fails, or None."""
-        n = len(line)
-        if len(SYMBOLS.findall(line.encode())) > self.rules.max_symbols * n:
+        self.menu = re.compile(r"(?:\s[|»›>]\s.*){3}")
+        self.link = re.compile(r"\s*(?:home|menu|login|search|next|previous|share)\b[\s|>»]*$", re.I)
+        self.phrases = tuple(p.lower() for p in rules.boilerplate)
+        self.latin = all(c <= "ÿ" and c != "µ" for p in rules.boilerplate for c in p)
+
+    def may_hold_phrases(self, text: str) -> bool:
+        """False only if the pattern, which ignores case, finds nothing in the text: a fast look at whole texts, of which most hold no phrase."""
+        low = text.lower()
+        if not self.latin or len(low) != len(text) or "ſ" in text or "ı" in text:  # letters that the pattern takes for others and lower() does not
+            return True
+        return any(p in low for p in self.phrases)
+
+    def failed(self, line: str, phrases: bool = True) -> str | None:
+        """The rule that a line with words fails, or None; ``phrases``: whether its text may hold any."""
+        n, raw = len(line), line.encode("utf-8", "surrogatepass")
+        if counted(raw, SYMBOLS) > self.rules.max_symbols * n:
             return "symbols"
-        if self.navigation.search(line):
+        if (sum(map(line.count, "|»›>")) >= 3 and self.menu.search(line)) or self.link.match(line):
             return "navigation"
-        if self.boilerplate.search(line) and sum(map(len, self.boilerplate.findall(line))) >= self.rules.boilerplate_share * n:
+        if phrases and sum(map(len, self.boilerplate.findall(line))) >= max(1, self.rules.boilerplate_share * n):
             return "boilerplate"
-        upper = sum(map(str.isupper, line))
-        if line.count("!!") >= 3 or (n >= 20 and upper > self.rules.shouting * sum(map(str.isalpha, line))):
+        if line.count("!!") >= 3 or (n >= 20 and self.shouts(line, raw)):
             return "shouting"
         if not self.sentence_end.search(line) and len(line.split()) < self.rules.short_line:
             return "punctuation"
         return None
 
+    def shouts(self, line: str, raw: bytes) -> bool:
+        if len(raw) == len(line):
+            return counted(raw, UPPER) > self.rules.shouting * counted(raw, LETTERS)
+        return sum(map(str.isupper, line)) > self.rules.shouting * sum(map(str.isalpha, line))
+
+
+def counted(raw: bytes, some: bytes) -> int:
+    """How many of the bytes are among ``some``."""
+    return len(raw) - len(raw.translate(None, some))
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of eight that occurs twice or more in the text."""
@@ -126,6 +147,7 @@ def judge_text(text: str | None, judge: LineJudge) -> dict:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     seen, dup, kept_lines, lost, total = set(), 0, [], 0, 0
+    phrases = judge.may_hold_phrases(text or "")
     for line in (text or "").split("\n"):
         body = line.encode("utf-8", "surrogatepass").split()
         if not body:
@@ -135,14 +157,14 @@ def judge_text(text: str | None, judge: LineJudge) -> dict:
         seen.add(line)
         chars = sum(len(x.decode("utf-8", "surrogatepass")) for x in body) if not line.isascii() else sum(map(len, body))
         total += chars
-        if judge.failed(line) is None:
+        if judge.failed(line, phrases) is None:
             kept_lines.append(line)
         else:
             lost += chars
     n_words, n_repeat = len(words), repeated_words(words)
     base_failed = n_words < 20 or 100 * n_repeat > 30 * n_words
     return {
-        "n_words": n_words, "word_chars": total, "n_symbols": len(SYMBOLS.findall(raw)), "n_dup_lines": dup, "n_repeat_words": n_repeat,
+        "n_words": n_words, "word_chars": total, "n_symbols": counted(raw, SYMBOLS), "n_dup_lines": dup, "n_repeat_words": n_repeat,
         "base_failed": base_failed, "kept": not base_failed and lost <= judge.rules.max_lost * total, "lost_chars": lost,
         "clean_text": None if text is None else "\n".join(kept_lines),
     }
