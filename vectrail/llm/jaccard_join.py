@@ -681,7 +681,8 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     large = (F.col("m") > BLOCK) | (F.col("elements") > ELEMENTS)
     sized = groups.join(each, "hub")
     small = sized.where(~large).select("hub", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "l")
-    stars = written(_stars(sized.where(large).select("hub", "fp", "l"), whole), "jaccard-stars")
+    crowds = written(sized.where(large).select("hub", "fp", "l"), "jaccard-crowds")  # few as a rule: a table whose size is known need not make the sets move
+    stars = written(_stars(crowds, whole), "jaccard-stars")
     members = small.unionByName(_blocks(stars)).join(whole, "fp").select("hub", "i", "j", "fp", "l", "s")
     dealt = members.repartition(partitions, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     near_hub = stars.where("linked and hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
@@ -698,5 +699,5 @@ def jaccard_components(docs: DataFrame, keys: bool = False) -> DataFrame:
     first = [F.lit(True).alias("first")] if keys else []
     none = sets.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"), *more, *first)
     found = written(rows.unionByName(none), "jaccard-components")
-    discard(sets, probes, groups, whole, stars, roots)
+    discard(sets, probes, groups, whole, crowds, stars, roots)
     return found
