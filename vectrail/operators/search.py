@@ -4,30 +4,24 @@ A table to search has ``id``, ``vector`` and any other columns.  Scores are
 doubles; results are best first with ties to the smaller id; ``order="asc"``
 turns them round, best last.
 
-Scoring many queries runs in Arrow batches: a batch of rows is one matrix
-product, and only a batch's ``k`` best rows of each query leave it.  Few queries
-travel in the closure, up to ``MOST_BYTES``; more are packed into chunks and meet
-hashed slots of the table, so that neither side is ever held whole.
+Scoring many queries runs in tiles (``tiles``): a matrix product of some queries and
+some rows, of which only each query's ``k`` best leave a task.  Few queries travel in
+the closure, up to ``MOST_BYTES``; of more, a task holds a block while the table
+streams past, so that neither side is ever held whole and no pairs are shuffled.
 """
 
 from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels, vector
+from ..functions import vector
 from ..model import DEFAULT_THRESHOLD, DEFAULT_TOP_K, Similarity
-
-#: Of a query matrix that goes to every task.
-MOST_BYTES = 16 << 20
-CHUNK = 1024
-SLOT = 32_768
+from . import tiles
+from .tiles import MOST_BYTES
 
 
 def _checked(k: int) -> int:
@@ -93,105 +87,11 @@ def search_batch(
     if dim is None:
         first = queries.where(F.col("vector").isNotNull()).select(F.size("vector")).first()
         dim = first[0] if first else 1
-    n = queries.count()
-    if n * dim * 8 <= most_bytes:
-        rows = queries.select("id", "vector").toArrow()
-        matrix, at = kernels.matrix(rows.column("vector"), dim)
-        found = _against(table, rows.column("id").to_numpy()[at], matrix, k, threshold, similarity)
-    else:
-        found = _slotted(table, queries, n, k, threshold, similarity, dim)
+    rows, n = table.select("id", "vector"), queries.count()
+    found = tiles.best(rows, queries.select("id", "vector"), n, lambda part: tiles.Best(part, k, threshold, similarity), dim, k, most_bytes)
     return top_k(found, k, similarity, by=("query_id",))
 
 
-FOUND = "query_id bigint, id bigint, score double"
-
-
-def _best_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None, similarity: Similarity) -> pa.RecordBatch:
-    if similarity is Similarity.EUCLIDEAN:
-        return _nearest_rows(ids, rows, query_ids, queries, k, threshold)
-    s = kernels.scores(queries, rows, similarity)
-    good = kernels.passing(s, similarity, threshold)
-    q, i, v = [], [], []
-    for n in range(len(queries)):
-        at = np.flatnonzero(good[n])
-        at = at[kernels.best(s[n, at], ids[at], k, similarity)]
-        q.append(np.full(len(at), query_ids[n]))
-        i.append(ids[at])
-        v.append(s[n, at])
-    none = np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *q])), pa.array(np.concatenate([none, *i])), pa.array(np.concatenate([none.astype(float), *v]))], ["query_id", "id", "score"])
-
-
-def _nearest_rows(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None) -> pa.RecordBatch:
-    """Distances by direct differences, of the rows that the expanded square cannot rule out, rounding taken into account."""
-    with np.errstate(all="ignore"):
-        own, other = (rows**2).sum(1), (queries**2).sum(1)
-        square = other[:, None] + own - 2 * queries @ rows.T
-        slack = 4 * np.finfo(float).eps * (rows.shape[1] + 4) * (other[:, None] + own)
-    none = np.empty(0, np.int64)
-    q, i, v = [none], [none], [np.empty(0)]
-    for n in range(len(queries)):
-        at = np.flatnonzero(~np.isnan(square[n]))
-        low, high = square[n, at] - slack[n, at], square[n, at] + slack[n, at]
-        most = np.inf if threshold is None else threshold * threshold * (1 + 1e-12) if threshold >= 0 else -np.inf
-        if len(at) > k:
-            most = min(most, np.partition(high, k - 1)[k - 1])
-        at = at[low <= most]
-        s = np.sqrt(((rows[at] - queries[n]) ** 2).sum(1))
-        keep = kernels.passing(s, Similarity.EUCLIDEAN, threshold)
-        at, s = at[keep], s[keep]
-        best = kernels.best(s, ids[at], k, Similarity.EUCLIDEAN)
-        q.append(np.full(len(best), query_ids[n]))
-        i.append(ids[at[best]])
-        v.append(s[best])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, i, v)], ["query_id", "id", "score"])
-
-
-def _against(table: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: float | None, similarity: Similarity) -> DataFrame:
-    dim = queries.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at = kernels.matrix(batch.column(1), dim)
-            ids = batch.column(0).to_numpy()[at]
-            for a in range(0, len(queries), CHUNK):
-                yield _best_rows(ids, rows, query_ids[a : a + CHUNK], queries[a : a + CHUNK], k, threshold, similarity)
-
-    return table.select("id", "vector").mapInArrow(run, FOUND)
-
-
-def _slotted(table: DataFrame, queries: DataFrame, n: int, k: int, threshold: float | None, similarity: Similarity, dim: int) -> DataFrame:
-    """Query chunks go to every slot of the table; a slot's rows, about ``SLOT``, stay in memory while chunks stream past."""
-    slots = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // SLOT))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at = kernels.matrix(batch.column(1), dim)
-            ids = batch.column(0).to_numpy()[at]
-            for a in range(0, len(ids), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a : a + CHUNK].tobytes()]), pa.array([rows[a : a + CHUNK].tobytes()])], ["ids", "vectors"])
-
-    chunks = queries.select("id", "vector").repartition(-(-n // CHUNK)).mapInArrow(packed, "ids binary, vectors binary")
-    chunks = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(1).alias("kind"), "ids", "vectors")
-    data = table.select("id", "vector").mapInArrow(packed, "ids binary, vectors binary")
-    data = data.select(F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int").alias("slot"), F.lit(0).alias("kind"), "ids", "vectors")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for slot, kind, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                i, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dim)
-                if slot != now:
-                    now, held = slot, []
-                if kind == 0:
-                    held.append((i, x))
-                else:
-                    for own, rows in held:
-                        yield _best_rows(own, rows, i, x, k, threshold, similarity)
-
-    return data.unionByName(chunks).repartition(slots, "slot").sortWithinPartitions("slot", "kind").mapInArrow(run, FOUND)
-
-
 def within(found: DataFrame, millis: float) -> DataFrame:
     """``found``, evaluated now; a TimeoutError, and its jobs cancelled, if that takes longer. For results of a few rows."""
     spark, group, late = found.sparkSession, f"within-{uuid.uuid4().hex}", threading.Event()
