@@ -137,14 +137,14 @@ def lsh_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _signatures(spark, sf_dir)
-    return lsh.candidates(rows, rows)
+    rows = lsh.codes(_vectors(spark, sf_dir), lsh.portable_planes(BITS, TABLES, DIM))
+    return lsh.candidates(rows, rows, BITS)
 
 
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     planes = lsh.portable_planes(BITS, TABLES, DIM)
-    index = lsh.LshIndex(planes, lsh.signatures(rows, planes))
+    index = lsh.LshIndex(planes, lsh.codes(rows, planes))
     return _rounded(index.search(rows, rows, DEFAULT_TOP_K, THRESHOLD))
 
 

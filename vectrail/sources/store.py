@@ -277,7 +277,7 @@ class Collection:
         """query_id, id, score, rank by the collection's strategy; an index and the rows newer than it answer together."""
         self._open()
         rows, s = self.rows(), self.config.similarity
-        if self.config.strategy is IndexStrategy.LSH and self.files.exists(f"{self.path}/lsh/signatures"):
+        if self.config.strategy is IndexStrategy.LSH and self.files.exists(f"{self.path}/lsh/planes"):
             return lsh.LshIndex.load(self.spark, f"{self.path}/lsh").search(rows, queries, k, threshold, s)
         active = self.active_index() if self.config.strategy is IndexStrategy.ANN else None
         if active is None:
