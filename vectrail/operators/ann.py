@@ -1,10 +1,15 @@
 """The approximate index: cells, product-quantised codes, exact reranking.
 
 Vectors are dealt to about sqrt(n) cells by nearest centroid and coded by product
-quantisation of what is left.  A search probes the nearest cells (partitions of
-the index, so others are not read), ranks their codes by table lookups, keeps
-``k * oversample`` of them, and scores those exactly; the threshold holds for
-exact scores only.
+quantisation of what is left.  A search probes the nearest cells, ranks their codes
+by the vectors that they stand for, keeps ``k * oversample`` of them, and scores
+those exactly; the threshold holds for exact scores only.
+
+A few queries travel to the codes, and vectors are read for what they keep.  Of many,
+a task holds a block while codes and vectors stream past in the order of cells
+(``tiles``): what is kept carries its exact score, and only the ``k`` best of a query
+leave the task.  Where all that is probed would be kept, codes cut nothing and rows
+are ranked by their exact scores at once.
 
 How many cells and codes a search needs depends on the vectors, so a build
 measures it: rows chosen by hash are searched exactly, themselves left out, and
@@ -31,12 +36,13 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..model import DEFAULT_THRESHOLD, DEFAULT_TOP_K, Similarity
 from ..sources.scratch import shared_path
+from . import tiles
 from .cluster import reservoir
 from .lsh import rerank
 from .search import search_batch, top_k
 
-#: Rows of a cell that a task holds.
-SHARE = 65_536
+#: Candidates of all queries that are listed before they are scored, at most.
+LISTED = 1 << 18
 
 
 @dataclass
@@ -113,19 +119,19 @@ class Quantizer:
         cell = _nearest(x, self.cells)
         rest = x - self.cells[cell]
         codes = [_nearest(rest[:, a:b], book) for a, b, book in zip(self.bounds, self.bounds[1:], self.books, strict=False)]
-        return cell, np.stack(codes, 1).astype(np.uint8 if max(map(len, self.books)) <= 256 else np.uint16)
+        return cell, np.stack(codes, 1).astype(self.wide())
 
     def probes(self, q: np.ndarray, n: int) -> np.ndarray:
         """The n best cells of each query."""
         key = (self.cells**2).sum(1) - 2 * q @ self.cells.T if self.similarity is Similarity.EUCLIDEAN else -(q @ self.cells.T)
         return np.argsort(key, axis=1, kind="stable")[:, :n]
 
-    def approximate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Scores of a cell's codes to one query: table lookups, higher is better."""
-        if self.similarity is Similarity.EUCLIDEAN:
-            rest = q - self.cells[cell]
-            return -sum(((rest[a:b] - book) ** 2).sum(1)[codes[:, j]] for j, (a, b, book) in enumerate(zip(self.bounds, self.bounds[1:], self.books, strict=False)))
-        return q @ self.cells[cell] + sum((book @ q[a:b])[codes[:, j]] for j, (a, b, book) in enumerate(zip(self.bounds, self.bounds[1:], self.books, strict=False)))
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that a cell's codes stand for."""
+        return self.cells[cell] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+
+    def wide(self) -> type:
+        return np.uint8 if max(map(len, self.books)) <= 256 else np.uint16
 
 
 def prepared(x: np.ndarray, similarity: Similarity) -> np.ndarray:
@@ -164,67 +170,73 @@ def encode(table: DataFrame, quantizer: Quantizer) -> DataFrame:
     return table.select("id", "vector").mapInArrow(run, "id bigint, code binary, cell int")
 
 
+class Cells(tiles.Best):
+    """The best rows of each query in the cells that it probes, by exact score."""
+
+    def __init__(self, queries: tiles.Part, k: int, threshold: float | None, quantizer: Quantizer, probes: int):
+        super().__init__(queries, k, threshold, quantizer.similarity)
+        self.quantizer, self.near = quantizer, quantizer.prepared(self.q)
+        self.probed = np.zeros((len(quantizer.cells), len(self.ids)), bool)
+        for a in range(0, len(self.ids), 512):
+            found = quantizer.probes(self.near[a : a + 512], probes)
+            self.probed[found.ravel(), np.repeat(np.arange(a, a + len(found)), found.shape[1])] = True
+
+    def offer(self, part: tiles.Part) -> Iterator[pa.RecordBatch]:
+        yield from ()
+        order = np.argsort(part["cell"], kind="stable")
+        cells, starts = np.unique(part["cell"][order], return_index=True)
+        for cell, at in zip(cells, np.split(order, starts[1:]), strict=True):
+            self.among({c: x[at] for c, x in part.items()}, np.flatnonzero(self.probed[cell]))
+
+
+class Coded(Cells):
+    """The best of each query's ``keep`` rows of best codes; ``listed``: all of these, without vectors, scored by their codes, higher is better."""
+
+    def __init__(self, queries: tiles.Part, k: int, keep: int, threshold: float | None, quantizer: Quantizer, probes: int, listed: bool = False):
+        super().__init__(queries, keep, None, quantizer, probes)
+        self.most, self.least, self.listed = k, threshold, listed
+        self.euclidean = self.similarity is Similarity.EUCLIDEAN
+        self.left = np.column_stack([-2 * self.near, np.ones(len(self.near))]) if self.euclidean else -self.near
+
+    def _right(self, part: tiles.Part) -> tuple[np.ndarray, float]:
+        rows = self.quantizer.decode(int(part["cell"][0]), part["code"].view(self.quantizer.wide()))
+        return (np.column_stack([rows, (rows**2).sum(1)]) if self.euclidean else rows), 0.0
+
+    def _tile(self, part: tiles.Part, rows: np.ndarray, slack: float, start: int, at: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            key = self.left[at] @ rows.T
+            good = np.flatnonzero(key <= self.bound[at][:, None])
+        for a in range(0, len(good), tiles.TILE // 8):
+            some = good[a : a + tiles.TILE // 8]
+            i, j = np.divmod(some, len(rows))
+            i, j, value = at[i], j + start, key.ravel()[some]
+            score = -value
+            if not self.listed:
+                x = part["vector"][j]
+                with np.errstate(all="ignore"):
+                    score = self.scores(i, x, (x**2).sum(1))
+            self._hold(i, part["id"][j], value, score)
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        if not self.listed:
+            sign = 1 if self.euclidean else -1
+            key = np.where(kernels.passing(self.value, self.similarity, self.least), sign * self.value, np.nan)
+            first = np.lexsort((self.row, key), axis=-1)[:, : self.most]
+            self.row, self.value = np.take_along_axis(self.row, first, 1), sign * np.take_along_axis(key, first, 1)
+        yield from super().finish()
+
+
 def probe(codes: DataFrame, quantizer: Quantizer, queries: DataFrame, probes: int, keep: int) -> DataFrame:
-    """query_id, id: the ``keep`` best rows of the probed cells by approximate score.
+    """query_id, id: the ``keep`` best rows of the probed cells by approximate score, for a few queries."""
+    dim, similarity = quantizer.dim, Similarity.DOT_PRODUCT
+    few = tiles.collected(queries.select("id", "vector"), dim)
 
-    Codes travel packed, at most ``SHARE`` of a cell to a task; a query row goes to
-    each share of its cells, and only its best rows come back.
-    """
-    dim, wide = quantizer.dim, np.uint8 if max(map(len, quantizer.books)) <= 256 else np.uint16
+    def make(part: tiles.Part) -> Coded:
+        return Coded(part, keep, keep, None, quantizer, probes, listed=True)
 
-    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, at = kernels.matrix(batch.column(1), dim)
-            q = quantizer.prepared(rows)
-            found = quantizer.probes(q, probes)
-            ids = batch.column(0).to_numpy()[at]
-            each = found.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.ravel().astype(np.int32)), pa.array([i.tobytes() for i in ids for _ in range(each)], pa.binary()), pa.array([x.tobytes() for x in q for _ in range(each)], pa.binary())],
-                ["cell", "ids", "body"],
-            )
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(2).to_numpy().astype(np.int64) << 32 | batch.column(3).to_numpy()
-            ids, body = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
-            out = [(int(k >> 32), int(k & 0xFFFFFFFF), ids[key == k].tobytes(), b"".join(body[key == k])) for k in np.unique(key)]
-            if out:
-                cell, share, i, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(share, pa.int32()), pa.array(i, pa.binary()), pa.array(c, pa.binary())], ["cell", "share", "ids", "body"])
-
-    shares = codes.groupBy("cell").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    dealt = codes.select("id", "code", "cell").join(shares, "cell").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
-    data = dealt.select("id", "code", "cell", "share").mapInArrow(packed, "cell int, share int, ids binary, body binary").withColumn("kind", F.lit(0))
-    wanted = queries.select("id", "vector").mapInArrow(cells_of, "cell int, ids binary, body binary").join(shares, "cell")
-    wanted = wanted.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("kind", F.lit(1))
-    names = ["cell", "share", "kind", "ids", "body"]
-    both = data.select(names).unionByName(wanted.select(names))
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, share = None, [], None
-        for batch in batches:
-            q_out, i_out, s_out = [], [], []
-            for cell, part, kind, ids, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cell, part) != now:
-                    now, held, share = (cell, part), [], None
-                if kind == 0:
-                    held.append((ids, body))
-                elif held:
-                    if share is None:
-                        i, c = (b"".join(x) for x in zip(*held, strict=True))
-                        i = np.frombuffer(i, np.int64)
-                        share = i, np.frombuffer(c, wide).reshape(len(i), -1)
-                    s = quantizer.approximate(np.frombuffer(body), cell, share[1])
-                    at = kernels.best(s, share[0], min(keep, len(s)), Similarity.DOT_PRODUCT)
-                    q_out.append(np.full(len(at), np.frombuffer(ids, np.int64)[0]))
-                    i_out.append(share[0][at])
-                    s_out.append(s[at])
-            if q_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q_out, i_out, s_out)], ["query_id", "id", "score"])
-
-    rough = both.repartition("cell", "share").sortWithinPartitions("cell", "share", "kind").mapInArrow(scores, "query_id bigint, id bigint, score double")
-    return top_k(rough, keep, Similarity.DOT_PRODUCT, by=("query_id",)).select("query_id", "id")
+    rough = tiles.few(codes.select("id", "cell", "code"), few, make, tiles.FOUND, dim)
+    return top_k(rough, keep, similarity, by=("query_id",)).select("query_id", "id")
 
 
 def calibrate(table: DataFrame, codes: DataFrame, quantizer: Quantizer, parameters: AnnParameters) -> list[Setting]:
@@ -311,8 +323,20 @@ class AnnIndex:
         last = self.settings[-1]
         return every, -(-k * last.keep // last.k)
 
-    def search(self, table: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, threshold: float | None = DEFAULT_THRESHOLD, probes: int | None = None) -> DataFrame:
-        """query_id, id, score, rank; scores are exact."""
+    def search(self, table: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, threshold: float | None = DEFAULT_THRESHOLD, probes: int | None = None, listed: int = LISTED) -> DataFrame:
+        """query_id, id, score, rank; scores are exact. ``listed``: candidates that are listed before they are scored, at most."""
         own, keep = self.reach(k)
-        pairs = probe(self.codes, self.quantizer, queries, min(probes or own, len(self.quantizer.cells)), keep)
-        return rerank(pairs, queries, table, k, threshold, self.quantizer.similarity)
+        quantizer, dim = self.quantizer, self.quantizer.dim
+        probes, n, held = min(probes or own, len(quantizer.cells)), queries.count(), self.codes.count()
+        if keep < held and n * keep <= listed and tiles.fits(n, dim, keep):
+            return rerank(probe(self.codes, quantizer, queries, probes, keep), queries, table, k, threshold, quantizer.similarity)
+        rows, queries = self.codes.join(table.select("id", "vector"), "id"), queries.select("id", "vector")
+        if keep >= held:
+            rows = rows.select("id", "cell", "vector")
+            if not tiles.fits(n, dim, k):
+                rows = tiles.in_cell_order(rows, held, dim)
+            found = tiles.best(rows, queries, n, lambda part: Cells(part, k, threshold, quantizer, probes), dim, k)
+        else:
+            rows = tiles.in_cell_order(rows.select("id", "cell", "code", "vector"), held, dim)
+            found = tiles.meet(rows, queries, lambda part: Coded(part, k, keep, threshold, quantizer, probes), tiles.FOUND, dim, n, keep, len(quantizer.books) * 2)
+        return top_k(found, k, quantizer.similarity, by=("query_id",))
