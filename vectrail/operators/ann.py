@@ -92,7 +92,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    square, chunk = (c**2).sum(1), max(1, 4_000_000 // len(c))
+    square, chunk = (c**2).sum(1), max(1, 131_072 // len(c))  # a chunk of distances stays in the cache
     return np.concatenate([np.empty(0, np.int64), *((square - 2 * x[i : i + chunk] @ c.T).argmin(1) for i in range(0, len(x), chunk))])
 
 

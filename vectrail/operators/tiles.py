@@ -208,7 +208,7 @@ class Best:
             step = max(1, TILE // (b - a))
             for i in range(0, len(at), step):
                 self._tile(part, rows[a:b], slack, a, at[i : i + step])
-            if seen < EARLY:
+            if seen < EARLY and self.waiting >= self.k * len(at):
                 self._merge()
             self.seen[at] += b - a
             a = b
